@@ -7,9 +7,9 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import records
+from . import notes, records, scoring
 
-MODULES: tuple[ModuleType, ...] = (records,)
+MODULES: tuple[ModuleType, ...] = (records, notes, scoring)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -27,4 +27,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.p2_found(spark, sf_dir)
+    return notes.note_relationships(spark, sf_dir)
