@@ -13,7 +13,9 @@ import json
 from collections.abc import Iterator
 from typing import Any
 
-MISSING = object()
+
+class MISSING:
+    """Stands for no value. A class, since closures sent to tasks keep the identity of classes only."""
 
 
 def _no_constant(name: str):
@@ -116,9 +118,9 @@ def own_fields(obj: dict, arrays: frozenset[str], norm: str) -> dict[str, str]:
     while todo:
         name, x = todo.pop()
         x = opened(x) if name else x
+        if isinstance(x, (dict, list)) and name and f"{norm}[].{name}" in arrays:
+            continue
         if isinstance(x, dict):
-            if name and f"{norm}[].{name}" in arrays:
-                continue
             todo.extend((f"{name}.{k}" if name else k, v) for k, v in x.items())
         elif isinstance(x, list):
             if not any(isinstance(opened(v), (dict, list)) for v in x):

@@ -19,7 +19,7 @@ COLUMNS = ("document_id", "sentence_id", "text", "start_char", "end_char", "sour
 # Words that join two capitalised words to one name.
 CONNECTORS = ("of", "de", "van", "von", "da", "del")
 # Capitalised words that begin sentences and are no part of a name.
-OPENERS = ("The", "A", "An", "This", "That", "These", "Those", "In", "On", "At", "For", "From", "By", "With", "When", "While", "After", "Before", "Because", "If", "It", "He", "She", "They", "We", "You", "I", "And", "But", "Or", "So", "As", "To", "Of", "No", "Not", "Our", "My", "Its", "His", "Her", "Their", "What", "Who", "Where", "Why", "How", "Each", "Every", "Some", "Two")
+OPENERS = ("The", "A", "An", "This", "That", "These", "Those", "In", "On", "At", "For", "From", "By", "With", "When", "While", "After", "Before", "Because", "If", "It", "He", "She", "They", "We", "You", "I", "And", "But", "Or", "So", "As", "To", "Of", "No", "Not", "Our", "My", "Its", "His", "Her", "Their", "What", "Who", "Where", "Why", "How", "Each", "Every", "Some", "Two", "Then", "Now", "Here", "There")
 LISTED_BROADCAST_ROWS = 20_000
 
 

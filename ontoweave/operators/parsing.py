@@ -36,12 +36,12 @@ def strip_front_matter(docs: DataFrame) -> DataFrame:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(document_id, line_no, line, line_start): the body's lines without their ends, offsets into the text."""
+    """(document_id, line_no, line, line_start): the body's lines without their line feeds, offsets into the text."""
     body = strip_front_matter(docs).where(F.col("body") != "")
     rows = body.select("document_id", "body_start", F.posexplode(F.split("body", "\n")).alias("line_no", "line"))
     before = Window.partitionBy("document_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("body_start") + F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0))
-    return rows.select("document_id", "line_no", F.regexp_replace("line", "\r$", "").alias("line"), start.cast("int").alias("line_start"))
+    return rows.select("document_id", "line_no", "line", start.cast("int").alias("line_start"))
 
 
 def marked_lines(docs: DataFrame) -> DataFrame:
