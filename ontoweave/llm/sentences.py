@@ -255,8 +255,13 @@ def _ends_here(text: str, i: int, j: int, k: int, end: int, begin: int, run: str
         return True
     if re.search(r"т\.\s?[дп]$", text[max(begin, i - 5) : i]):
         return _starts(follows)
-    if _initial(text, i, begin):
-        return _in_trie(EITHER, text, i, begin) and _starts(follows) and not _initials_of_name(text, i, begin)
+    if _initial(text, i, begin) and not (text[i - 1].islower() and _in_trie(EITHER, text, i, begin) and text[i - 2 : i - 1] != "."):
+        letters = re.search(r"(?:[^\W\d_]{1,2}\.)+[^\W\d_]$", text[max(begin, i - 12) : i])
+        if not letters or not _in_trie(EITHER, text, i, begin):
+            return False
+        # capital letters that could be hours or years are initials, and so are letters that begin the sentence
+        clock = letters.group() != letters.group().lower() and letters.group().lower() in ("a.m", "p.m", "b.c", "a.d")
+        return not clock and bool(text[begin : max(begin, i - len(letters.group()))].strip(" \n\"'“„«(")) and _starts(follows)
     if _in_trie(EITHER, text, i, begin):
         word = re.search(r"[^\W\d_]+\.?[^\W\d_]*$", text[max(begin, i - 12) : i])
         if word and word.group().lower() in ("h", "min", "mo") and not re.search(r"\d\s*\w+$", text[max(begin, i - 12) : i]):
@@ -292,11 +297,6 @@ def _initials(text: str, i: int, begin: int) -> bool:
     return _initial(text, i, begin) and i - 2 >= begin and text[i - 2] in ". "
 
 
-def _initials_of_name(text: str, i: int, begin: int) -> bool:
-    """``J.G.`` and ``P. D.`` are initials; ``S.A.`` and ``U.K.`` are in the trie as wholes."""
-    return not any(_in_trie(EITHER, text, i, b) for b in (begin,))
-
-
 def sentences_of(text: str | None, lang: str | None = None) -> list[tuple[int, int]]:
     """(start, end) of every sentence unit, without surrounding white space."""
     if not text:
