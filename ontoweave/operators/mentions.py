@@ -20,7 +20,7 @@ COLUMNS = ("document_id", "sentence_id", "text", "start_char", "end_char", "sour
 CONNECTORS = ("of", "de", "van", "von", "da", "del")
 # Capitalised words that begin sentences and are no part of a name.
 OPENERS = ("The", "A", "An", "This", "That", "These", "Those", "In", "On", "At", "For", "From", "By", "With", "When", "While", "After", "Before", "Because", "If", "It", "He", "She", "They", "We", "You", "I", "And", "But", "Or", "So", "As", "To", "Of", "No", "Not", "Our", "My", "Its", "His", "Her", "Their", "What", "Who", "Where", "Why", "How", "Each", "Every", "Some", "Two", "Then", "Now", "Here", "There")
-LISTED_BROADCAST_ROWS = 20_000
+SCANNED_NAMES, BROADCAST_NAMES = 64, 200_000
 
 
 def _mention(local_start: Column, text: Column, source: str, skipped: Column | None = None) -> list[Column]:
@@ -67,20 +67,21 @@ def capital_runs(sentences: DataFrame) -> DataFrame:
 def listed_names(sentences: DataFrame, gazetteer: DataFrame, size: int | None = None) -> DataFrame:
     """Listed names in sentences: any case, bounded by no letter or digit, longest names first, no overlaps.
 
-    A gazetteer of up to ``LISTED_BROADCAST_ROWS`` names is sent to all tasks and looked for in each
-    sentence; a larger one is joined on the folded text of all word runs of a sentence that are as long as
-    some name, an equi-join that neither grows with names x sentences nor broadcasts anything.
+    A few names (``SCANNED_NAMES``) are looked for in each sentence. More are joined on the folded text of all
+    word runs of a sentence that are as long as some name: up to ``BROADCAST_NAMES`` of them, a checked bound,
+    as a broadcast hash join that moves no sentence, beyond it as a shuffled equi-join. None of these grows
+    with names x sentences. ``size`` tells the number of names where it is known.
     """
     names = gazetteer.select(F.col("name"), match_fold(F.col("name")).alias("needle"), F.col("ord").alias("name_ord")).where(F.col("needle") != "")
     if size is None:
-        size = names.limit(LISTED_BROADCAST_ROWS + 1).count()
+        size = names.limit(BROADCAST_NAMES + 1).count()
     rows = sentences.withColumn("hay", match_fold(F.col("text")))
-    if size <= LISTED_BROADCAST_ROWS:
+    if size <= SCANNED_NAMES:
         hits = rows.join(F.broadcast(names), F.col("hay").contains(F.col("needle")))
         at = F.transform(places_of(F.col("hay"), F.col("needle")), lambda i: i + 1)
         hits = hits.select(*sentences.columns, "needle", "name_ord", F.explode(at).alias("at"))
     else:
-        hits = _word_run_join(rows, names, sentences.columns)
+        hits = _word_run_join(rows, names, sentences.columns, size <= BROADCAST_NAMES)
     end = F.col("at") + F.length("needle")
     left = (F.col("at") == 1) | ~F.col("text").substr(F.col("at") - 1, F.lit(1)).rlike(r"[\p{L}\p{N}]")
     right = (end > F.length("text")) | ~F.col("text").substr(end, F.lit(1)).rlike(r"[\p{L}\p{N}]")
@@ -95,18 +96,29 @@ def listed_names(sentences: DataFrame, gazetteer: DataFrame, size: int | None =
     return out.select(*_mention(F.col("s.at") - 1, F.col("text").substr(F.col("s.at"), F.col("s.upto") - F.col("s.at")), "gazetteer"))
 
 
-def _word_run_join(rows: DataFrame, names: DataFrame, columns: list[str]) -> DataFrame:
-    # word starts and ends of a sentence; a name is as many words long as it has word starts
-    words = names.withColumn("n_words", F.regexp_count("needle", F.lit(r"[\p{L}\p{N}]+")))
-    sizes = F.array_sort(F.collect_set("n_words"))
-    longest = words.agg(F.slice(sizes, 1, 64).alias("sizes"))
-    spans = rows.select(*columns, "hay", found_at(F.col("hay"), r"[\p{L}\p{N}]+").alias("w")).crossJoin(F.broadcast(longest))  # one row: the set of name lengths
-    runs = F.flatten(F.transform("sizes", lambda n: F.transform(
-        F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (F.size("w") > 0) & (i + n <= F.size("w")) & (n > 0)),
-        lambda i: F.struct((F.element_at("w", i + 1)["at"] + 1).alias("at"), (F.element_at("w", i + n)["at"] + F.length(F.element_at("w", i + n)["found"])).alias("upto")))))
-    runs = spans.where(F.size("w") > 0).select(*columns, "hay", F.explode(runs).alias("r"))
-    runs = runs.withColumn("needle", F.col("hay").substr(F.col("r.at"), F.col("r.upto") - F.col("r.at") + 1))
-    return runs.join(names, "needle").select(*columns, "needle", "name_ord", F.col("r.at").alias("at"))
+def _word_run_join(rows: DataFrame, names: DataFrame, columns: list[str], send: bool) -> DataFrame:
+    """Places of names in sentences by an equi-join on word runs.
+
+    A name is found by its text from its first to its last letter or digit, which is a run of as many words
+    as the name has; signs before and after are compared where the run is found. The word starts and ends of
+    a sentence are computed once, in a generator of their own.
+    """
+    letter = r"[\p{L}\p{N}]"
+    core = F.regexp_replace("needle", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    lead = F.length(F.regexp_extract("needle", r"^[^\p{L}\p{N}]*", 0))
+    cores = names.select("needle", "name_ord", core.alias("core"), lead.alias("lead"), F.regexp_count("needle", F.lit(rf"{letter}+")).alias("n_words"))
+    signs = cores.where(F.col("core") == "")  # names without any letter or digit: looked for one by one
+    sizes = cores.where(F.col("core") != "").agg(F.array_sort(F.collect_set("n_words")).alias("sizes"))  # one row
+    words = rows.select(*columns, "hay", F.explode(F.array(found_at(F.col("hay"), rf"{letter}+"))).alias("w")).crossJoin(F.broadcast(sizes))
+    starts = words.select(*columns, "hay", F.transform("w", lambda x: x["at"] + F.length(x["found"])).alias("ends"), "sizes", F.posexplode("w").alias("i", "x"))
+    upto = F.filter(F.transform("sizes", lambda n: F.get("ends", F.col("i") + n - 1)), lambda e: e.isNotNull())
+    runs = starts.select(*columns, "hay", F.col("x.at").alias("begin"), F.explode(upto).alias("upto"))
+    runs = runs.withColumn("core", F.col("hay").substr(F.col("begin") + 1, F.col("upto") - F.col("begin")))
+    worded = cores.where(F.col("core") != "")
+    found = runs.join(F.broadcast(worded) if send else worded, "core").withColumn("at", F.col("begin") + 1 - F.col("lead"))
+    found = found.where((F.col("at") > 0) & (F.col("hay").substr(F.col("at"), F.length("needle")) == F.col("needle")))
+    odd = rows.join(signs, F.col("hay").contains(F.col("needle"))).select(*columns, "needle", "name_ord", F.explode(F.transform(places_of(F.col("hay"), F.col("needle")), lambda i: i + 1)).alias("at"))
+    return found.select(*columns, "needle", "name_ord", "at").unionByName(odd)
 
 
 def encoder_spans(sentences: DataFrame, encode: Callable[[Iterator[pd.Series]], Iterator[list[list[tuple[int, int, float]]]]], threshold: float) -> DataFrame:

@@ -41,11 +41,12 @@ def find_listed(text: str, listed: list[str]) -> list[tuple[int, int]]:
 
 def test_listed_names_equal_the_loop_both_ways(spark):
     r = random.Random(2)
-    listed = ["ab", "ab cd", "cd ab", "a", "b-a", "cd", "ab cd ab"]
-    texts = [" ".join(r.choice(["ab", "cd", "a", "AB", "b-a", "abc", "x."]) for _ in range(r.randint(1, 9))) for _ in range(150)]
+    listed = ["ab", "ab cd", "cd ab", "a", "b-a", "cd", "ab cd ab", "x.", "(cd", "--"]
+    texts = [" ".join(r.choice(["ab", "cd", "a", "AB", "b-a", "abc", "x.", "(cd", "--"]) for _ in range(r.randint(1, 9))) for _ in range(150)]
     want = sorted((f"s{i}", 100 * i + a, 100 * i + b, t[a:b]) for i, t in enumerate(texts) for a, b in find_listed(t, listed))
     assert spans(mentions.listed_names(sents(spark, *texts), names(spark, *listed))) == want
-    assert spans(mentions.listed_names(sents(spark, *texts), names(spark, *listed), size=mentions.LISTED_BROADCAST_ROWS + 1)) == want
+    assert spans(mentions.listed_names(sents(spark, *texts), names(spark, *listed), size=mentions.SCANNED_NAMES + 1)) == want
+    assert spans(mentions.listed_names(sents(spark, *texts), names(spark, *listed), size=mentions.BROADCAST_NAMES + 1)) == want
 
 
 def test_listed_names_edges(spark):
