@@ -33,13 +33,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Give a CPU-heavy Python stage enough tasks when the scan alone yields too few.
+    """Give a CPU-heavy Python stage enough tasks when its input has fewer splits than there are cores.
 
-    At scale a scan has far more splits than cores and the frame passes through unchanged,
-    so the round-robin exchange only ever moves inputs that are small against the cluster.
+    At scale an input has far more splits than cores and the frame passes through unchanged, so the
+    round-robin exchange only ever moves inputs that are small against the cluster. The size is the
+    optimizer's estimate: asking a frame for its partitions would run its shuffles under AQE.
     """
-    wanted = df.sparkSession.sparkContext.defaultParallelism * per_core
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted // per_core else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(cores * per_core) if size < cores * split else df
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
