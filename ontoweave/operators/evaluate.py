@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.text import canonical_name
 from .decide import ACCEPT, REJECT, REVIEW
 
+CURVE_SLICES = 256
+
 
 def entity_key(name: Column, kind: Column) -> Column:
     return F.concat_ws("|", canonical_name(name), F.upper(kind))
@@ -74,12 +76,18 @@ def has_spans(entities: Column) -> Column:
 def curve(decisions: DataFrame, by: list[str], prob: str = "prob", right: str = "correct", tie: str = "ord") -> DataFrame:
     """Precision, error and coverage among the k most probable decisions, for every k; ties in ``tie`` order.
 
-    The window runs within each ``by`` group; a group as large as a table should be cut into several first.
+    A group may be a whole table: its rows are cut into slices of probability, each slice is ranked by itself
+    and starts from the totals of the slices above it, which are few. Missing probabilities come last.
     """
-    order = Window.partitionBy(*by).orderBy(F.desc(prob), tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    k, ok = F.count(F.lit(1)).over(order), F.sum(F.col(right).cast("int")).over(order)
-    total = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    return decisions.select(*by, F.col(prob).alias("threshold"), k.alias("rank"), (k / total).alias("coverage"), (ok / k).alias("precision"), (1 - ok / k).alias("error"))
+    rows = decisions.withColumn("_slice", F.coalesce(F.floor(F.col(prob) * CURVE_SLICES).cast("int"), F.lit(-1)))
+    slices = rows.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(right).cast("int")).alias("_ok"))
+    above = Window.partitionBy(*by).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0))
+    slices = slices.select(*by, "_slice", before("_n").alias("_k0"), before("_ok").alias("_ok0"), F.sum("_n").over(Window.partitionBy(*by)).alias("_total"))
+    order = Window.partitionBy(*by, "_slice").orderBy(F.desc(prob), tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = rows.withColumn("_k", F.count(F.lit(1)).over(order)).withColumn("_hit", F.sum(F.col(right).cast("int")).over(order)).join(slices, [*by, "_slice"])
+    k, ok = F.col("_k0") + F.col("_k"), F.col("_ok0") + F.col("_hit")
+    return ranked.select(*by, F.col(prob).alias("threshold"), k.alias("rank"), (k / F.col("_total")).alias("coverage"), (ok / k).alias("precision"), (1 - ok / k).alias("error"))
 
 
 def fit_gate(points: DataFrame, by: list[str], most_error: float = 0.15) -> DataFrame:

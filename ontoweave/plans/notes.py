@@ -71,6 +71,12 @@ def sql_name(x: str) -> str:
     return f"CASE WHEN {x} IS NULL THEN NULL WHEN {opaque} OR regexp_matches({name}, '^[0-9]+$') THEN '' ELSE {name} END"
 
 
+def sql_pretty(x: str) -> str:
+    """A name as it reads in a sentence, as a SQL expression."""
+    titled = f"array_to_string(list_transform(string_split(lower(replace({x}, '_', ' ')), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+    return f"CASE WHEN contains({x}, '_') OR (upper({x}) = {x} AND regexp_matches({x}, '[A-Z]') AND length({x}) > 4) THEN {titled} ELSE {x} END"
+
+
 def note_sentences(spark: SparkSession, d: str) -> DataFrame:
     rows = parsing.sentences(notes(spark, d))
     return rows.select("document_id", "sentence_id", "idx", "text", "start_char", "end_char", parsing.heading_context(F.col("heading_path")).alias("heading"))
@@ -374,6 +380,15 @@ def oracle_sql() -> dict[str, str]:
             CAST(CASE WHEN bal >= 5000 THEN 1 ELSE 0 END AS BIGINT) AS links_dropped FROM facts""",
         "note_highlights": f"""WITH {NOTES}, mk AS (SELECT document_id, idx, text, bal, '<mark style="background:#fff" title="SUPPLIER">' || s || '</mark>' AS ms, '<mark style="background:#fff" title="NATION">' || n || '</mark>' AS mn, '<mark style="background:#fff" title="REGION">' || r || '</mark>' AS mr FROM said)
             SELECT document_id || '-s' || idx AS sentence_id, CASE WHEN idx = 0 THEN '**' || ms || '** is located in ' || mn || '.' WHEN idx = 1 THEN mn || ' is part of ' || mr || '.' ELSE ms || CASE WHEN bal < 0 THEN ' may be' ELSE ' is not' END || ' located in ' || mn || '.' END AS html FROM mk""",
+        "note_graph_edges": f"""WITH {NOTES}, {HITS}
+            SELECT document_id, {source} AS source, {target} AS target, asked AS type, lower(replace(asked, '_', ' ')) AS label,
+                   {sql_pretty('source')} || CASE WHEN asked = 'PART_OF' THEN ' is part of ' ELSE ' is located in ' END || {sql_pretty('target')} || '.' AS sentence, false AS review FROM hits WHERE band = 'ACCEPT'
+            UNION ALL SELECT document_id, source, target, 'NONE', 'none', 'Check whether any real link holds from ' || {sql_pretty('source')} || ' to ' || {sql_pretty('target')} || '. The model put this at 50%.', true FROM hits WHERE band = 'REVIEW'""",
+        "note_sections": f"""WITH {NOTES}, n AS (SELECT document_id, max(CASE WHEN idx = 0 THEN strlen(text) END) AS a, max(CASE WHEN idx = 1 THEN strlen(text) END) AS b, count(*) = 3 AS third FROM said GROUP BY document_id),
+            p AS (SELECT document_id, a >= 60 AS cut, CASE WHEN a >= 60 THEN b ELSE a + b END AS size, third FROM n),
+            rows_ AS (SELECT document_id, 0 AS no FROM p UNION ALL SELECT document_id, cut::INT FROM p UNION ALL SELECT document_id, cut::INT + (size * 2 >= 60)::INT FROM p WHERE third)
+            SELECT document_id, CAST(no AS INTEGER) AS section_no, count(*) AS n_sentences FROM rows_ GROUP BY document_id, no""",
+        "link_phrases": f"""SELECT n_nationkey, {sql_pretty(sql_name('n_name'))} || ' is part of RAG.' AS phrase, 'Check whether “' || r_name || '” is a region. The model put this at 50%.' AS ask FROM nation JOIN region ON n_regionkey = r_regionkey""",
         "canonical_names": f"SELECT DISTINCT name, {sql_name('name')} AS canonical FROM gold_names",
         "degree_capped": """
             WITH edges AS (SELECT c_mktsegment AS document_id, c_name AS source, n_name AS target, CASE WHEN c_acctbal < 0 THEN 0.4 ELSE 1.0 END AS w FROM customer JOIN nation ON c_nationkey = n_nationkey),

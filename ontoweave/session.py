@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def get_session(app: str = "ontoweave", cpus: int | str = "*", partitions: int | None = None) -> SparkSession:
@@ -19,6 +18,7 @@ def get_session(app: str = "ontoweave", cpus: int | str = "*", partitions: int |
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("ONTOWEAVE_DRIVER_MEMORY", "8g"))
@@ -36,14 +36,19 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     """Give a CPU-heavy Python stage enough tasks when its input has fewer splits than there are cores.
 
     At scale an input has far more splits than cores and the frame passes through unchanged, so the
-    round-robin exchange only ever moves inputs that are small against the cluster. The size is the
-    optimizer's estimate: asking a frame for its partitions would run its shuffles under AQE.
+    round-robin exchange only ever moves inputs that are small against the cluster. A plain scan is asked
+    for its splits; behind a shuffle the optimizer's estimate of the size decides, since asking for the
+    partitions would run the shuffle under AQE.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return df.repartition(cores * per_core) if size < cores * split else df
+    plan = df._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString():
+        size = int(str(plan.optimizedPlan().stats().sizeInBytes()))
+        few = size < cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    else:
+        few = df.rdd.getNumPartitions() < cores
+    return df.repartition(cores * per_core) if few else df
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -51,6 +56,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not where:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         where = os.path.join(tempfile.gettempdir(), "ontoweave-checkpoints")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(where)
@@ -99,10 +106,6 @@ def collect_bounded(df: DataFrame, most: int, what: str) -> list:
     return rows
 
 
-def nulls_last(name: str):
-    return F.col(name).asc_nulls_last()
-
-
 def ship(spark: SparkSession) -> None:
     """Make the package importable on the executors, once for each application.
 
