@@ -8,7 +8,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical_name, html_escaped, json_quoted, link_phrase, pretty_name, pretty_type, review_phrase
+from ..functions.text import html_escaped, json_quoted, link_phrase, pretty_name, pretty_type, review_phrase
 from .ontology import NOT_ENTITY, UNKNOWN_COLOR, Ontology
 
 GRAPH_NODES, KEPT_WEIGHT, PENDING_WEIGHT, PENDING_NODE = 80, 1.0, 0.4, 0.5
@@ -131,7 +131,3 @@ def graph_page(nodes: list, edges: list, title: str) -> str:
         f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>"
         f"<p>{len(nodes)} names, {len(edges)} links</p><ul>{legend}</ul><table>{rows}</table><script type=application/json id=graph>{data}</script>"
     )
-
-
-def id_of_surface(surface: Column) -> Column:
-    return canonical_name(surface)
