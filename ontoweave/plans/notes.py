@@ -105,8 +105,7 @@ def note_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def document_lines(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where(~F.startswith(F.col("text"), F.lit("---"))).select("document_id", "text")
-    return parsing.lines(docs).withColumn("line", F.regexp_replace("line", "\r$", "")).where(F.col("line") != "").groupBy("document_id").agg(
+    return parsing.lines(table(spark, d, "documents").select("document_id", "text")).withColumn("line", F.regexp_replace("line", "\r$", "")).where(F.col("line") != "").groupBy("document_id").agg(
         F.count(F.lit(1)).alias("n_lines"), F.max("line_start").alias("last_start"), F.sum(F.length("line")).alias("n_chars"))
 
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from ontoweave.functions.text import ABBREVIATIONS
 from ontoweave.operators import parsing
+from ontoweave.plans import notes
 
 DOCS = "document_id string, text string"
 
@@ -110,3 +112,23 @@ def test_convert_spans_raises_on_a_bad_end(spark):
     bad = spark.createDataFrame([("d", ["Jo"], [("Peop", 0, 1)], [("Live_In", 0, 7)])], schema)
     with pytest.raises(Exception, match="no entity"):
         parsing.convert_spans(bad, {}, {})[1].collect()
+
+
+def scan_lines(text: str) -> tuple[int, int, int] | None:
+    """(n_lines, last_start, n_chars) of the lines that are not empty, after front matter: the brute force."""
+    head = re.match(parsing.FRONT_MATTER.replace(r"(?s)\A", "(?s)"), text)
+    at, found = head.end() if head else 0, []
+    for line in text[at:].split("\n"):
+        bare = line.removesuffix("\r")
+        found += [(at, len(bare))] if bare else []
+        at += len(line) + 1
+    return (len(found), found[-1][0], sum(n for _, n in found)) if found else None
+
+
+def test_document_lines_read_every_document(spark, tmp_path):
+    r = random.Random(11)
+    texts = ["---\nid: 1\n---\nOne.\n\nTwo.\n", "---\r\nid: 2\r\n---\r\nÉ 𝔘.\r\nx", "---\nnever closed\n\nx", "--- a dash first", "---", "---\nid: 3\n---\n", "a\n---\nb\n---\nc", "\n---\nx\n---\ny", "", None]
+    texts += ["".join(r.choice(["---\n", "\n", "\r\n", "a: b\n", "é", " "]) for _ in range(r.randint(1, 12))) for _ in range(300)]
+    frame(spark, *texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.document_id: (x.n_lines, x.last_start, x.n_chars) for x in notes.document_lines(spark, str(tmp_path)).collect()}
+    assert got == {f"d{i}": want for i, t in enumerate(texts) if t and (want := scan_lines(t))}
