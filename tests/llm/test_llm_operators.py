@@ -102,6 +102,21 @@ def test_links_equal_all_pairs_on_a_small_table(spark):
     assert links <= brute_pairs(spelled) and not missed
 
 
+def test_frequent_surnames_and_given_names_as_surnames(spark):
+    r = random.Random(9)
+    given = ["John", "Robert", *("".join(r.choice("BDFGKLMNPRSTVZ") + r.choice("aeiou") + r.choice("lmnrst") + r.choice("aeiou") for _ in range(2)).title() for _ in range(40))]
+    people = [x for g in given for x in (f"{g} Smith", f"Smith, {g}", f"{g[0]}. Smith")]
+    odd = ["Bob Smith", "Smith Bob", "Smith John", "Jhon Smith", "J. Smiht", "William Thomas", "W. Thomas", "Xenia Thomas", "Thomas Jones", "J. Thomas", "Wei Li", "W. Li", "Wei Lu", "Smith Media Group"]
+    spelled = sorted({*people, *odd})
+    assert sum("Smith" in x for x in spelled) > names.RARE_NAMES
+    got = {(x.name_a, x.name_b) for x in names.link_names(spark.createDataFrame([(x, 1) for x in spelled], "name string, n long")).collect()}
+    nicks, common = names.nick_table(), frozenset({"smith"})
+    assert got == {(a, b) for a in spelled for b in spelled if a < b and names.likeness(a, b, nicks, common) >= 0.9}
+    for pair in (("John Smith", "Smith, John"), ("J. Smith", "John Smith"), ("J. Smith", "Smith, John"), ("Bob Smith", "Robert Smith"), ("Robert Smith", "Smith Bob"), ("John Smith", "Smith John"), ("Jhon Smith", "John Smith"), ("J. Smiht", "John Smith"), ("W. Thomas", "William Thomas"), ("W. Li", "Wei Li")):
+        assert pair in got, pair
+    assert not got & {("J. Thomas", "Thomas Jones"), ("W. Li", "Wei Lu"), ("Wei Li", "Wei Lu"), ("J. Smith", "Robert Smith"), ("John Smith", "Robert Smith")}
+
+
 def test_stars_partition_names(spark):
     df = spark.createDataFrame([("a", 5), ("b", 1), ("c", 1), ("d", 1)], "name string, n long")
     links = spark.createDataFrame([("a", "b", 0.95), ("a", "c", 0.95), ("c", "d", 0.91)], "name_a string, name_b string, score double")
