@@ -293,6 +293,20 @@ def test_kinds(text, kind):
     assert quality.describe(text)["text_kind"] == kind
 
 
+PROSE = "The frozen ledger was moved in October, and she said that the others had to wait for it."
+ROWS = "\n".join(f"| {a} | {i} | {i * 7} |" for i, a in enumerate(("one", "two", "six", "ten", "four")))
+ENTRIES = "* milk\n* old bread\n* eggs"
+MIXED = [
+    (f"{PROSE}\n{ROWS}\n{ENTRIES}", "table"), (f"{PROSE}\n{ENTRIES}\n* tea from the hills\n* a small wheel of cheese\n* salted butter\n* honey\n| a | 2 |", "list"), ("* milk\n* old bread", "list"), (f"{PROSE} {PROSE}\n{ROWS}", "prose"),
+    ("文書には26行の小さな記録がある{{citation needed|date=May}}。春に、判定を作り直した。", "prose"), ("Ashは古い索引を使いました [http://plan.example plan page]。毎晩候補を確認する。", "prose"),
+]
+
+
+@pytest.mark.parametrize(("text", "kind"), MIXED)
+def test_kinds_of_mixed_and_short_texts(text, kind):
+    assert quality.describe(text)["text_kind"] == kind
+
+
 def test_divergence():
     assert quality.jensen_shannon((0.5, 0.5), (0.5, 0.5)) == 0
     assert quality.jensen_shannon((1, 0), (0, 1)) == pytest.approx(1)
