@@ -117,6 +117,18 @@ def test_frequent_surnames_and_given_names_as_surnames(spark):
     assert not got & {("J. Thomas", "Thomas Jones"), ("W. Li", "Wei Lu"), ("Wei Li", "Wei Lu"), ("J. Smith", "Robert Smith"), ("John Smith", "Robert Smith")}
 
 
+def test_learned_nicknames_do_not_hang_on_the_size(spark):
+    r = random.Random(10)
+    own = ['Xanthippe "Zappy" Orlov', 'Xanthippe "Zappy" Brenn', "Zappy Lund", "Xanthippe Lund", 'Vogel, Katrin "Trini"', 'Vogel, Katrin M. "Trini"', "Trini Lund", "Katrin Lund", 'Lund Odil "Fipsy"', 'Lund Odil "Fipsy" ', "Fipsy Lund"]
+    many = [f"{g} {''.join(r.choice('bdfgklmnprstvz') + r.choice('aeiou') for _ in range(4)).title()}" for g in ("Aurel", "Bogdan", "Celine", "Dagmar", "Egon") for _ in range(names.RARE_NAMES + 5)]
+    for spelled in (own, own + many):
+        df = spark.createDataFrame([(x, 1) for x in sorted(set(spelled))], "name string, n long")
+        got = {(x.name_a, x.name_b) for x in names.link_names(df).collect()}
+        assert {("Xanthippe Lund", "Zappy Lund"), ("Katrin Lund", "Trini Lund")} <= got
+        assert ("Katrin Lund", "Zappy Lund") not in got
+    assert names.quoted_nickname('Lund Odil "Fipsy"') is None and names.quoted_nickname('"Bob" Robert Smith') == ("bob", "robert")
+
+
 def test_stars_partition_names(spark):
     df = spark.createDataFrame([("a", 5), ("b", 1), ("c", 1), ("d", 1)], "name string, n long")
     links = spark.createDataFrame([("a", "b", 0.95), ("a", "c", 0.95), ("c", "d", 0.91)], "name_a string, name_b string, score double")
