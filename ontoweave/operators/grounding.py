@@ -39,7 +39,7 @@ def ground(parsed: DataFrame, ontology: Ontology) -> tuple[DataFrame, DataFrame]
     rows = parsed.where("ok").select("document_id", F.posexplode("reply.entities").alias("at", "e"))
     rows = rows.select("document_id", "at", strip(F.col("e.name")).alias("display_name"), F.upper(F.coalesce("e.type", "e.entity_type", F.lit("OTHER"))).alias("entity_type"), "e.description")
     rows = rows.withColumn("name", canonical_name(F.col("display_name"))).where((F.coalesce("name", F.lit("")) != "") & F.col("entity_type").isin(*kinds))
-    first = F.row_number().over(Window.partitionBy("document_id", "name").orderBy("at"))
+    first = F.row_number().over(Window.partitionBy("document_id", "name").orderBy("at", "display_name", "entity_type", "description"))
     entities = rows.withColumn("rn", first).where(F.col("rn") == 1).select("document_id", "name", "entity_type", "display_name", F.coalesce("description", "display_name").alias("description"))
     named = F.when(F.size("reply.relationships") > 0, F.col("reply.relationships")).otherwise(F.col("reply.relations"))
     rel = parsed.where("ok").select("document_id", F.posexplode(named).alias("at", "r"))

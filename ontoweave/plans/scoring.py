@@ -191,7 +191,7 @@ def grounded_replies(spark: SparkSession, d: str) -> DataFrame:
     """The label bodies as if chat replies had brought them, grounded in an ontology of their kinds."""
     kinds = tuple(ontology.Kind(k, k.title()) for k in ("PERSON", "ORGANIZATION", "PRODUCT", "TECHNOLOGY"))
     onto = ontology.Ontology("replies", kinds, (ontology.Link("USES", "Uses.", ("PERSON",), ("PRODUCT",)),))
-    raw = table(spark, d, "label_files").where(F.col("document_id").isNotNull()).groupBy("document_id").agg(F.max("body").alias("body"))
+    raw = table(spark, d, "label_files").where(F.col("document_id").isNotNull()).select("document_id", "body").distinct()
     replies = raw.select("document_id", F.concat(F.lit("Here it is:\n```json\n"), "body", F.lit("\n```\n")).alias("content"))
     entities, _ = grounding.ground(grounding.parse_replies(replies), onto)
     return entities.select("document_id", "name", "entity_type", "display_name")

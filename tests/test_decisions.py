@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ontoweave.operators import assemble, decide, evaluate, grounding, ontology
+from ontoweave.plans import scoring
 from ontoweave.operators import questions as Q
 from ontoweave.plans.pipeline import extract
 
@@ -203,3 +204,11 @@ def test_grounding(spark):
     assert {(r.name, r.entity_type) for r in ents.collect()} == {("ADA_BYRON", "PERSON"), ("ACME_INC", "COMPANY")}
     assert [(r.source, r.relation_type, r.target) for r in rels.collect()] == [("ADA_BYRON", "WORKS_FOR", "ACME_INC")]
     assert grounding.retry_waits() == [1.0, 2.0, 4.0]
+
+
+def test_every_body_of_a_document_is_grounded(spark, tmp_path):
+    body = lambda *names: '{"entities":[' + ",".join(f'{{"name":"{n}","type":"PERSON"}}' for n in names) + "]}"
+    rows = [("d", body("Ada", "Bo")), ("d", body("Zoe", "ada")), ("d", body("Zoe", "ada")), ("d", None), ("d", "{"), ("e", body("Cy")), (None, body("No"))]
+    spark.createDataFrame(rows, "document_id string, body string").write.parquet(str(tmp_path / "label_files.parquet"))
+    got = [(r.document_id, r.name) for r in scoring.grounded_replies(spark, str(tmp_path)).collect()]
+    assert sorted(got) == [("d", "ADA"), ("d", "BO"), ("d", "ZOE"), ("e", "CY")]
