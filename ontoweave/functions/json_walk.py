@@ -66,15 +66,18 @@ def kind_of(value: Any) -> str:
     return "object" if isinstance(value, dict) else "array"
 
 
-def array_paths(value: Any) -> set[str]:
-    """Paths (indices written ``[]``) at which this record holds an array with an object in it."""
+def array_paths(value: Any, maps: frozenset[str] = frozenset()) -> set[str]:
+    """Paths (indices written ``[]``, keys of ``maps`` ``*``) at which this record holds an array with an object in it."""
     found: set[str] = set()
     todo = [("", value)]
     while todo:
         path, x = todo.pop()
         x = opened(x)
         if isinstance(x, dict):
-            todo.extend((f"{path}.{k}" if path else k, v) for k, v in x.items())
+            is_map = path.rpartition(".")[2] in maps
+            for k, v in x.items():
+                k = "*" if is_map else k
+                todo.append((f"{path}.{k}" if path else k, v))
         elif isinstance(x, list):
             held = [opened(v) for v in x]
             if any(isinstance(v, dict) for v in held):

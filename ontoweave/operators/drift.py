@@ -164,7 +164,7 @@ def changes(profiles: DataFrame) -> DataFrame:
 
 def drift_report(df: DataFrame, json_col: str) -> DataFrame:
     """All changes between neighbouring files of each feed of a table with feed, file_no and a JSON column."""
-    return changes(profile_files(df, json_col, array_schema(df, json_col)))
+    return changes(profile_files(df, json_col, array_schema(df, json_col, MAP_FIELDS)))
 
 
 def unified(df: DataFrame, json_col: str, report: DataFrame) -> DataFrame:

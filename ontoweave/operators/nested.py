@@ -31,7 +31,7 @@ def latest_json(df: DataFrame, id_col: str, json_col: str, at_col: str) -> DataF
     return rows.groupBy("record_id").agg(newest.alias("b")).select("record_id", F.col("b.body").alias("body"))
 
 
-def array_schema(df: DataFrame, json_col: str) -> frozenset[str]:
+def array_schema(df: DataFrame, json_col: str, maps: frozenset[str] = frozenset()) -> frozenset[str]:
     """The paths at which any record holds an array of objects; one scan, no shuffle of records."""
 
     def paths(cols: dict[str, list]) -> Iterable[tuple]:
@@ -39,7 +39,7 @@ def array_schema(df: DataFrame, json_col: str) -> frozenset[str]:
         for text in cols["body"]:
             value = read_json(text)
             if value is not MISSING:
-                seen |= array_paths(value)
+                seen |= array_paths(value, maps)
         return [(safe(p),) for p in seen]
 
     found = over_rows(df.select(F.col(json_col).alias("body")).where(F.col("body") != ""), "path string", paths).distinct()

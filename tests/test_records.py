@@ -87,6 +87,11 @@ def test_beneath_a_change_and_maps(spark):
     assert report(spark, {1: [{"entities": [{"n": 1}]}], 2: [{"nodes": [{"n": 1, "k": 2}]}]}) == [(2, "renamed", "entities", "nodes")]
 
 
+def test_lone_objects_under_map_keys(spark):
+    files = {1: [{"answers": {"q1": {"x": [{"p": 1}]}}}], 2: [{"answers": {"q2": {"x": {"p": 1}}}}]}
+    assert report(spark, files) == []
+
+
 def test_optional_fields_unreadable_files_and_empty(spark):
     assert report(spark, {1: [{"a": 1}, {"b": 1}], 2: [None, "", '{"a"'], 3: [{"a": 1, "b": 2}, {}]}) == []
     assert report(spark, {1: []}) == []
