@@ -68,16 +68,29 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_report(spark, d).where(F.col("kind") == "exact").select("doc_id", "item_id")
 
 
+def _languages(spark: SparkSession, d: str) -> dict[str, quality.Language]:
+    """Language profiles from a bounded sample of the labelled prose of ``chunks``."""
+    return quality.fit_languages(quality.language_sample(table(spark, d, "chunks")))
+
+
 def p9_stats(spark: SparkSession, d: str) -> DataFrame:
-    return quality.text_stats(table(spark, d, "documents"))
+    return quality.text_stats(table(spark, d, "documents"), _languages(spark, d))
+
+
+def p9_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The plain counts alone, which need no Python."""
+    rows = quality.text_counts(table(spark, d, "documents"))
+    ratios = ("mean_word_length", "symbol_ratio", "stopped_line_share", "common_word_share")
+    return rows.select("doc_id", "n_chars", "n_words", "n_lines", *[F.round(c, 6).alias(c) for c in ratios])
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return p9_stats(spark, d).where(F.col("text_kind").isin("table", "list", "junk")).select("doc_id", "text_kind").distinct()
+    kinds = quality.text_kinds(table(spark, d, "documents"), _languages(spark, d))
+    return kinds.where(F.col("text_kind").isin("table", "list", "junk")).select("doc_id", "text_kind").distinct()
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_members, p4_found, p4_clean, p4_regions, p6_found, p6_sentences, p7_ids, p8_found, p8_report, p9_found, p9_stats)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_members, p4_found, p4_clean, p4_regions, p6_found, p6_sentences, p7_ids, p8_found, p8_report, p9_found, p9_stats, p9_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -99,6 +112,22 @@ def oracle_sql() -> dict[str, str]:
             SELECT request_id, CASE WHEN max(length(atom)) > max(most) THEN 'forced' ELSE 'natural' END AS boundary
             FROM atoms GROUP BY request_id
         """,
+        "p9_counts": f"""
+            WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+            c AS (
+              SELECT doc_id, length(text) AS n_chars, regexp_extract_all(lower(text), '\\p{{L}}[\\p{{L}}\\p{{M}}]*') AS words, len(regexp_extract_all(text, '[\\p{{L}}\\p{{M}}]')) AS letters,
+                     len(regexp_extract_all(text, '[^\\p{{L}}\\p{{M}}\\p{{N}} \\t\\n\\v\\f\\r]')) AS signs, len(regexp_extract_all(text, '[^ \\t\\n\\v\\f\\r]')) AS visible,
+                     list_filter(regexp_split_to_array(text, '[\\r\\n\\x{{2028}}\\x{{2029}}]'), lambda x: regexp_matches(x, '[^ \\t\\v\\f]')) AS lines
+              FROM t),
+            n AS (
+              SELECT *, len(list_filter(words, lambda w: w IN ({", ".join("'" + w + "'" for w in sorted(quality.COMMON))}))) AS common,
+                     len(list_filter(lines, lambda x: regexp_matches(x, '[.!?。！？।።؟…]["''”’»«)\\]}}*_`~$> \\t\\v\\f]*$'))) AS stopped
+              FROM c)
+            SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, CAST(len(words) AS BIGINT) AS n_words, CAST(len(lines) AS BIGINT) AS n_lines,
+                   round(coalesce(letters / nullif(len(words), 0), 0), 6) AS mean_word_length, round(coalesce(signs / nullif(visible, 0), 0), 6) AS symbol_ratio,
+                   round(coalesce(stopped / nullif(len(lines), 0), 0), 6) AS stopped_line_share, round(coalesce(common / nullif(len(words), 0), 0), 6) AS common_word_share
+            FROM n
+        """,
         "p4_regions": """
             SELECT DISTINCT r.document_id, r.region_no, r.start_char,
                    CAST(coalesce(r.end_char, length(d.text)) AS INTEGER) AS end_char,

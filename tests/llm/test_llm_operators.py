@@ -6,6 +6,7 @@ import datetime
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -322,13 +323,39 @@ def test_kinds_of_mixed_and_short_texts(text, kind):
 def test_divergence():
     assert quality.jensen_shannon((0.5, 0.5), (0.5, 0.5)) == 0
     assert quality.jensen_shannon((1, 0), (0, 1)) == pytest.approx(1)
-    assert all(abs(sum(p) - 1) < 0.02 for ps in quality.PROFILES.values() for p in ps)
+    known, kinds = quality.profiles()
+    assert np.allclose(known.sum(axis=1), 1) and set(kinds) == {0, 1, 2, 3}
+    assert quality.divergences(known, known).diagonal() == pytest.approx(0, abs=1e-9)
+
+
+FOREIGN = [
+    "यह पुस्तक बहुत अच्छी है। मैंने कल इसे पढ़ा और आज फिर से पढ़ूँगा।", "இது ஒரு நல்ல புத்தகம். நான் அதை நேற்று படித்தேன். மழை பெய்தது.", "এটি একটি ভালো বই। আমি গতকাল এটি পড়েছি।", "เมื่อวานฝนตก เราอยู่บ้านทั้งวัน",
+    "Χθες έβρεχε όλη μέρα. Είναι έτοιμο το φαγητό;", "اليوم وصل التقرير إلى المدينة. لم يقرأه أحد بعد.", "ትናንት ዝናብ ነበር። እኛ ቤት ቆየን።", "어제 비가 왔다. 우리는 집에 있었다.", "Вчера шёл дождь. Мы весь день были дома.",
+]
+
+
+@pytest.mark.parametrize("text", FOREIGN)
+def test_prose_of_any_language_is_prose(text):
+    assert quality.describe(text)["text_kind"] == "prose"
+
+
+def test_wrapped_prose_is_one_sentence_however_many_lines_it_has():
+    line = "and then the boats came down the river with the wood"
+    assert quality.pieces_of("\n".join([line] * 30 + ["to the mill."]))[0] == [" ".join([line] * 30 + ["to the mill."])]
+
+
+def test_languages_are_fitted_from_a_bounded_sample(spark):
+    rows = [("xx", f"zib zab {w} zob.") for w in ("mil", "nol", "pel", "ral", "sol", "tul")] * 5 + [(None, "a"), ("", "b"), ("xx", ""), ("xx", "z" * 6000)]
+    sample = quality.language_sample(spark.createDataFrame(rows, "lang string, text string"))
+    assert len(sample) == 6  # copies count once, long and blank texts not at all
+    fitted = quality.fit_languages(sample * 5)
+    assert quality.nearest_language("zib zab mil zob.", fitted)[0] == "xx" and "de" in fitted
 
 
 def test_stats_of_odd_rows(spark):
     df = spark.createDataFrame([(1, "a b. c", "q"), (2, None, None), (None, "", "q"), (3, "word " * 50_000, "q"), (1, "a b. c", "q")], "doc_id long, text string, text_kind string")
     got = {r.doc_id: r for r in quality.text_stats(df).collect()}
-    assert got[1].n_words == 3 and got[2].n_words == 0 and got[None].text_kind is None and got[3].text_kind == "junk"
+    assert got[1].n_words == 3 and got[2].n_words == 0 and got[None].text_kind is None and got[3].text_kind == "junk" and got[3].n_words == 50_000
     assert quality.text_stats(df.limit(0)).count() == 0
 
 
