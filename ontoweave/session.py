@@ -71,7 +71,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def over_rows(df: DataFrame, schema: str, step: Callable[[dict[str, list]], Iterable[tuple]], batch: int = 2000) -> DataFrame:
-    """``mapInArrow`` where ``step`` turns the columns of one Arrow batch into output tuples.
+    """``mapInArrow`` where ``step`` turns the columns of one Arrow batch into output tuples."""
+
+    def each(parts: Iterator[dict[str, list]]) -> Iterator[tuple]:
+        for part in parts:
+            yield from step(part)
+
+    return over_parts(df, schema, each, batch)
+
+
+def over_parts(df: DataFrame, schema: str, step: Callable[[Iterator[dict[str, list]]], Iterable[tuple]], batch: int = 2000) -> DataFrame:
+    """``mapInArrow`` where ``step`` turns all the batches of a task into output tuples, so that it may sum over them.
 
     Output is emitted in slices of ``batch`` rows so that a fan-out never builds one huge batch.
     """
@@ -82,12 +92,11 @@ def over_rows(df: DataFrame, schema: str, step: Callable[[dict[str, list]], Iter
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for got in batches:
-            for row in step(got.to_pydict()):
-                out.append(row)
-                if len(out) >= batch:
-                    yield _pack(out, arrow)
-                    out = []
+        for row in step(got.to_pydict() for got in batches):
+            out.append(row)
+            if len(out) >= batch:
+                yield _pack(out, arrow)
+                out = []
         if out:
             yield _pack(out, arrow)
 
