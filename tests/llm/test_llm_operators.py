@@ -269,13 +269,66 @@ ITEM = "Explain why the frozen ledger should reload before the corpus and name o
 def brute_leaks(docs, items):
     out = set()
     for d, t in docs:
-        stream = "".join(leaks.plain_words(t))
+        words = leaks.plain_words(t)
         for i, x in items:
-            if any(g in stream for g in leaks.must_hold(leaks.plain_words(x))):
+            item = leaks.plain_words(x)
+            n = min(leaks.RUN, len(item))
+            if n and any(item[a : a + n] == words[b : b + n] for a in range(len(item) - n + 1) for b in range(len(words) - n + 1)):
                 out.add((d, i))
     return out
 
 
+def test_runs_begin_and_end_with_words():
+    assert leaks.Stream(["the", "panda", "cat", "sat"]).holds("catsat")
+    assert not leaks.Stream(["the", "panda", "cat", "sat"]).holds("acatsat")
+    assert leaks.Stream(["a", "data", "base"]).holds("database") and not leaks.Stream(["cat", "sats"]).holds("catsat")
+
+
+def test_longest_common_equals_the_table():
+    r = random.Random(3)
+    for _ in range(300):
+        a, b = [[r.choice("abcd") for _ in range(r.randint(0, 12))] for _ in range(2)]
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        assert leaks.longest_common(a, b) == best[-1][-1]
+
+
+@pytest.mark.parametrize("near", [0.95, 0.7, 0.2])
+def test_block_search_misses_nothing(near):
+    rng = np.random.default_rng(5)
+    blocks = rng.standard_normal((700, 12)).astype(np.float32)
+    found = np.vstack([blocks[:200] + 0.2 * rng.standard_normal((200, 12)), rng.standard_normal((900, 12))]).astype(np.float32)
+    blocks, found = leaks._unit(blocks), leaks._unit(found)
+    got = {(r, q) for rows, queries, _ in leaks.Blocks(blocks, near).hits(found) for r, q in zip(rows, queries)}
+    assert got == set(zip(*np.nonzero(found @ blocks.T >= near)))
+
+
+def test_paraphrases_need_the_order_and_the_answer(spark):
+    r = random.Random(9)
+    words = [f"{a}{b}" for a in ("mo", "ri", "ta", "ke", "su", "lo") for b in ("den", "fal", "gor", "hin", "jat", "kel", "lum", "nip")]
+    filler = [" ".join(r.choice(words) for _ in range(90)) for _ in range(40)]
+    item = [r.choice(words) for _ in range(40)]
+    item[10], item[30] = "1871", "quatern"
+    changed = [f"other{k}" if k % 8 == 3 else x for k, x in enumerate(item)]
+    wrong = ["1999" if x == "1871" else x for x in changed]
+    docs = [*enumerate(filler), (100, f"{filler[0]} {' '.join(changed)} {filler[1]}"), (101, f"{filler[2]} {' '.join(wrong)} {filler[3]}"), (102, " ".join(r.sample(changed, len(changed)))), (103, " ".join(changed))]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {(x.doc_id, x.kind) for x in leaks.leaks(d, i).collect()}
+    assert got == {(100, "paraphrase"), (103, "paraphrase")}  # neither another number nor another order
+
+
+def test_long_texts_are_searched_in_segments(spark):
+    long = " ".join(f"w{k}" for k in range(3 * leaks.SEGMENT))
+    at = 2 * leaks.SEGMENT - 5
+    item = " ".join(f"w{k}" for k in range(at, at + 14))
+    d = spark.createDataFrame([(1, long), (2, "w1 w2")], "doc_id long, text string")
+    i = spark.createDataFrame([(7, item), (8, "w1 w2")], "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in leaks.leaks(d, i).where("kind = 'exact'").collect()} == {(1, 7), (1, 8), (2, 8)}
+
+
 def test_leaks_equal_brute_force(spark):
     w = ITEM.split()
     docs = [
