@@ -1,13 +1,16 @@
 """Sentence units of texts in any language and script, with offsets.
 
-Method: a pushdown automaton reads the marks of a paragraph in order. Opening quotes and brackets are
-pushed, closing ones popped (pairs without a partner are ignored), and a terminator ends a sentence only
-at depth 0. Which marks terminate depends on the script of the paragraph; full stops are checked against
+Method: a pushdown automaton reads the marks of a paragraph in order. List marks at the beginning of lines
+push a level where they are set in further, and pop those they are set in less than; every item of a list is
+read by itself. Within it opening quotes and brackets are pushed, closing ones popped (pairs without a partner
+are ignored), and a terminator ends a sentence only at depth 0. Which marks terminate depends on the script of the paragraph; full stops are checked against
 tries of abbreviations read backwards from the stop, against initials, ordinals, decimals and file names.
 After a closing quote that holds a terminator, what follows decides whether the sentence goes on.
 
 Defined results: null and blank texts have no sentences; a blank line ends a unit, a line break alone does
-not; a text without terminators is one unit per paragraph; Thai sentences end at white space unless a
+not; a text without terminators is one unit per paragraph; every item of a list begins a unit, its mark is part
+of it and no sentence, and marks make a list only where at least two of a kind follow each other on one level
+(numbers and letters one after the other), so that a line that happens to begin with one ends nothing; Thai sentences end at white space unless a
 Latin letter or digit is next to it. Of rows with one id each distinct text is cut once.
 """
 
@@ -26,14 +29,17 @@ from ..session import over_rows, spread
 ABBR_INNER = (
     "mr mrs ms dr prof st lt col gen sgt capt rev hon fr mme mlle pr sr sra dra srta ud uds vs cf e.g i.e viz ca approx "
     "p pp fig figs eq eqs sec ch vol vols no nos art app ed eds nr abb tab bzgl bzw z.b d.h u.a s o.ä v evtl ggf inkl "
-    "pág págs núm aprox env n° ex al univ inst instr netw found bio log tech eng hldg hldgs res mt ft op dept est "
+    "pág págs núm aprox env n° ex al mt ft op est "
     "стр рис см г ул проф им ок акад гр тов "
     "κ δρ π.χ σελ σχ βλ κα αρ "
     "د أ م "
     "डॉ पं प्रो श्री कु "
     "ዶ.ር አቶ "
+    # letters of abbreviations that are set apart, as in "z. B."
     "b u z e d"
 ).split()
+# Words of organisations' names cut short; with a capital letter they are followed by more of the name.
+ABBR_NAMES = "dept univ inst instr res lab labs tech eng netw sys found fndn assn assoc mfg mgmt natl intl bio log hldg hldgs".split()
 # Abbreviations that may also be the last word of a sentence.
 ABBR_EITHER = (
     "etc usw ff inc corp co ltd llc l.l.c bros s.a g.m.b.h gmbh a.m p.m u.k u.s u.s.a ph.d m.d b.c a.d jr h min mo "
@@ -51,6 +57,8 @@ OPEN = {"(": ")", "[": "]", "{": "}", "（": "）", "「": "」", "『": "』",
 CLOSE = set(OPEN.values()) | {'"', "'", "’"}
 STOPS = ".!?…。！？｡।॥።፧؟۔‼⁇⁈⁉;;"
 EVENT = re.compile("[" + re.escape("".join(OPEN) + "".join(set(OPEN.values())) + '"' + "'’" + STOPS) + "]")
+CLAUSE_END = re.compile("[" + re.escape(STOPS) + "\n]")
+LIST_MARK = re.compile(r"(?:(?<=\n)|\A|(?<=\r))([ \t]*)(?:([-*+•–—·◦▪‣])|\(?(?:(\d{1,4})|([A-Za-z]))[.)])[ \t]+(?=\S)")
 PARAGRAPH = re.compile(r"(?:[^\S\n]*\r?\n){2,}[^\S\n]*|\r(?!\n)[^\S\n]*\r|\u2029")
 CJK = re.compile("[぀-ヿ㐀-鿿豈-﫿]")
 THAI = re.compile("[฀-๿]")
@@ -69,7 +77,7 @@ def _trie(words: Iterable[str]) -> dict:
     return root
 
 
-INNER, EITHER = _trie(ABBR_INNER), _trie(ABBR_EITHER)
+INNER, EITHER, NAMES = _trie(ABBR_INNER), _trie(ABBR_EITHER), _trie(ABBR_NAMES)
 
 
 def _in_trie(trie: dict, text: str, stop: int, floor: int) -> bool:
@@ -147,8 +155,8 @@ def _goes_on(text: str, i: int, end: int, begin: int, opened_at: int | None, scr
     if c in "とはがをにのってだでもや" and CJK.match(c):
         return True
     if opened_at is not None and text[begin:opened_at].strip() == "":
-        clause = re.split("[" + re.escape(STOPS) + "\n]", text[j : min(end, j + 120)], maxsplit=1)[0]
-        if SPEECH.search(clause):
+        stop = CLAUSE_END.search(text, j, end)
+        if SPEECH.search(text, j, stop.start() if stop else end):
             return True
     return c.islower()
 
@@ -267,6 +275,8 @@ def _ends_here(text: str, i: int, j: int, k: int, end: int, begin: int, run: str
         if word and word.group().lower() in ("h", "min", "mo") and not re.search(r"\d\s*\w+$", text[max(begin, i - 12) : i]):
             return False
         return _starts(follows) or not script.cased
+    if _in_trie(NAMES, text, i, begin) and re.search(r"(?<![^\W_])[^\W\d_]+$", text[max(begin, i - 6) : i]).group()[0].isupper():
+        return False
     if _in_trie(INNER, text, i, begin):
         if re.search(r"(?:^|\s)no$", text[max(begin, i - 3) : i], re.I) and not follows.isdigit():
             return True
@@ -297,6 +307,33 @@ def _initials(text: str, i: int, begin: int) -> bool:
     return _initial(text, i, begin) and i - 2 >= begin and text[i - 2] in ". "
 
 
+def list_items(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """(where the item begins, where its text begins) of the items of lists in a paragraph.
+
+    A level is (indent, kind of mark, its number, whether a sibling made it a list). A mark that is no sibling
+    of the level it stands at begins a level of its own there.
+    """
+    levels: list[list] = []
+    found: list[tuple[int, int, list]] = []
+    for m in LIST_MARK.finditer(text, start, end):
+        indent = len(m.group(1).expandtabs(4))
+        at = int(m.group(3)) if m.group(3) else ord(m.group(4)) if m.group(4) else 0
+        kind = m.group(2) or m.group()[m.end(3) - m.start() if m.group(3) else m.end(4) - m.start()] + ("1" if m.group(3) else "a")
+        while levels and levels[-1][0] > indent:
+            levels.pop()
+        if levels and levels[-1][0] == indent:
+            level = levels[-1]
+            if level[1] == kind and (m.group(2) or at == level[2] + 1):
+                level[2], level[3] = at, True
+            else:
+                level = levels[-1] = [indent, kind, at, False]
+        else:
+            level = [indent, kind, at, False]
+            levels.append(level)
+        found.append((m.start() + len(m.group(1)), m.end(), level))
+    return [(begin, body) for begin, body, level in found if level[3]]
+
+
 def sentences_of(text: str | None, lang: str | None = None) -> list[tuple[int, int]]:
     """(start, end) of every sentence unit, without surrounding white space."""
     if not text:
@@ -308,16 +345,19 @@ def sentences_of(text: str | None, lang: str | None = None) -> list[tuple[int, i
     for stop, after in bounds:
         if stop > at:
             script = Script(text[at:stop], german)
-            last = at
-            for e in [*boundary_ends(text, at, stop, script), stop]:
-                s, t = last, e
-                while s < t and _blank(text[s]):
-                    s += 1
-                while t > s and _blank(text[t - 1]):
-                    t -= 1
-                if t > s:
-                    out.append((s, t))
-                last = e
+            items = list_items(text, at, stop)
+            cuts = [(at, at), *items]
+            for (begin, body), ahead in zip(cuts, [*(b for b, _ in items), stop]):
+                last = begin
+                for e in [*boundary_ends(text, body, ahead, script), ahead]:
+                    s, t = last, e
+                    while s < t and _blank(text[s]):
+                        s += 1
+                    while t > s and _blank(text[t - 1]):
+                        t -= 1
+                    if t > s:
+                        out.append((s, t))
+                    last = e
         at = after
     return out
 

@@ -261,6 +261,29 @@ def test_ids_of_odd_rows(spark):
     assert tokenize.encode_texts(df.limit(0), "doc_id", "text").count() == 0
 
 
+LISTS = [
+    ("- first item\n- second item\n- third item", ["- first item", "- second item", "- third item"]),
+    ("1. First item without stop\n2. Second item", ["1. First item without stop", "2. Second item"]),
+    ("Bring these:\n* milk. It is cold.\n    + of a cow\n    + of a goat\n* bread", ["Bring these:", "* milk.", "It is cold.", "+ of a cow", "+ of a goat", "* bread"]),
+    ("a) reeds\n   and willows\nb) oaks", ["a) reeds\n   and willows", "b) oaks"]),
+    ("1) one\n2) two\n   - left\n   - right\n3) three", ["1) one", "2) two", "- left", "- right", "3) three"]),
+    ("It was in May of\n1920. Then it rained.", ["It was in May of\n1920.", "Then it rained."]),
+    ("He came at once\n- so they say - and left.", ["He came at once\n- so they say - and left."]),
+    ("Wir sahen\nu. a. einen Fluss. Es regnete.", ["Wir sahen\nu. a. einen Fluss.", "Es regnete."]),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), LISTS)
+def test_items_of_lists_are_units(text, want):
+    assert [text[s:e] for s, e in sentences.sentences_of(text)] == want
+
+
+@pytest.mark.parametrize("n", [1, 3, 30, 300])
+def test_a_verb_of_saying_counts_however_far_it_stands(n):
+    text = '"قف!" ' + "ثم بعد ذلك " * n + "قال الرجل."
+    assert len(sentences.sentences_of(text)) == 1
+
+
 # leaks
 
 ITEM = "Explain why the frozen ledger should reload before the corpus and name one exporter that breaks this order"
