@@ -1,9 +1,10 @@
 """Markup residue in sentences and headings: found by a trained tree model, removed with its structure kept.
 
 Method: a sentence is a tree: its root, one node for its text and for each step of its heading path, and
-below them one node for each sign that may be markup, nested as the signs enclose each other. A node's own
-potential comes from a logistic model of the sign and its surroundings, edge potentials from how often parent
-and child are markup together; both are trained from labelled pages. Sum-product message passing, upward and
+below them one node for each sign that may be markup, nested as the signs enclose each other; pairs of signs that
+overlap compete. A node's own potential comes from a logistic model of the sign and its surroundings, edge
+potentials from how often parent and child are markup together; both are trained from pages labelled sign by
+sign, once, before any task runs. Sum-product message passing, upward and
 then downward, gives every sign's marginal probability of being markup rather than content.
 
 Defined results: null and empty texts and paths hold nothing; of rows with one sentence_id the one parsed last
@@ -16,7 +17,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,6 +30,9 @@ FAMILIES = ("html", "markdown", "wiki", "latex")
 # Names of HTML elements.
 ELEMENTS = set("a abbr address article aside audio b base blockquote body br button caption cite code col dd del details dfn div dl dt em figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd li link main mark math meta nav nobr object ol option p param pre q ref s samp script section select small source span strike strong style sub summary sup svg table tbody td textarea tfoot th thead title tr tt u ul var video wbr center big nowiki gallery".split())
 
+# Names that programs write between double underscores.
+SPECIAL_NAMES = set("init main name file doc all dict class call new del str repr len iter next getitem setitem enter exit eq hash version author slots module".split())
+
 # (family, sign, pattern); where spans overlap the earlier pattern wins unless one encloses the other
 SIGNS: list[tuple[str, str, re.Pattern]] = [
     (f, s, re.compile(p, re.S))
@@ -92,7 +96,7 @@ def _flags(text: str, start: int, end: int, sign: str) -> tuple[int, ...]:
     after = text[end] if end < len(text) else " "
     core = own.strip("*_`~[](){}<>$'=|\\#!^&; ")
     name = re.match(r"</?([A-Za-z][A-Za-z0-9]*)", own)
-    known = bool(name and name.group(1).lower() in ELEMENTS) or sign == "reference" and html.unescape(own) != own
+    known = bool(name and name.group(1).lower() in ELEMENTS) or sign == "reference" and html.unescape(own) != own or sign == "unders" and core in SPECIAL_NAMES
     return (
         int(len(own) > 3 and bool(core)),
         int(not (own[:1].isspace() or own[-1:].isspace()) and (not before.isspace() or not after.isspace())),
@@ -108,16 +112,19 @@ def _flags(text: str, start: int, end: int, sign: str) -> tuple[int, ...]:
     )
 
 
-def find_marks(text: str) -> list[Mark]:
-    """Every sign that may be markup, outermost first, each knowing the index of the one that encloses it."""
+def find_marks(text: str, wanted: set[tuple[int, int]] | None = None) -> list[Mark]:
+    """Every sign that may be markup, outermost first, each knowing the index of the one that encloses it.
+
+    A pair of signs whose closing one opens another pair competes with that pair: the better own potential wins,
+    in labelled text the pair that is ``wanted``.
+    """
     if not HINTS.search(text):
         return []
     taken: list[tuple[int, int]] = []
     marks: list[Mark] = []
     for family, sign, pattern in SIGNS:
-        for m in pattern.finditer(text):
-            s, e = m.span()
-            if s == e or any(s < b and a < e and not (a <= s and e <= b and (a, b) != (s, e) and b - a > e - s + 1 and sign in NESTED) and not (s < a and b < e and sign in OUTER) for a, b in taken):
+        for s, e in _spans(text, family, sign, pattern, wanted):
+            if any(s < b and a < e and not (a <= s and e <= b and (a, b) != (s, e) and b - a > e - s + 1 and sign in NESTED) and not (s < a and b < e and sign in OUTER) for a, b in taken):
                 continue
             taken.append((s, e))
             marks.append(Mark(s, e, family, sign, _flags(text, s, e, sign)))
@@ -131,28 +138,66 @@ def find_marks(text: str) -> list[Mark]:
     return marks
 
 
+def _spans(text: str, family: str, sign: str, pattern: re.Pattern, wanted: set[tuple[int, int]] | None) -> Iterator[tuple[int, int]]:
+    at = 0
+    while m := pattern.search(text, at):
+        s, e = m.span()
+        at = max(e, s + 1)
+        if s == e:
+            continue
+        if sign in RIVALS and (closer := RIVALS[sign].search(m.group())):
+            other = pattern.match(text, s + closer.start())
+            if other and other.end() > e and RIVALS[sign].search(other.group()):
+                kind = f"{family} {sign}"
+                if other.span() in wanted if wanted is not None else _own_potential(kind, _flags(text, *other.span(), sign)) > _own_potential(kind, _flags(text, s, e, sign)):
+                    at = s + closer.start()
+                    continue
+        yield s, e
+
+
+# signs that come in pairs of equals, and how the closing one is found
+RIVALS = {"math": re.compile(r"(?<=[^$])\$$"), "stars": re.compile(r"(?<=[^*])\*{1,3}$"), "unders": re.compile(r"(?<=[^_])__?$"), "code": re.compile(r"(?<=[^`])`$"), "strike": re.compile(r"(?<=[^~])~~$")}
 # signs that may lie inside others, and signs that may enclose others
 NESTED = {"reference", "tag", "stars", "unders", "code", "link", "command", "quotes", "template", "math"}
 OUTER = {"link", "image", "stars", "unders", "quotes", "heading", "row", "strike", "command", "braces"}
 
 
-@lru_cache(maxsize=1)
-def model() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sign weights, flag weights by sign, edge log-potentials), trained from the labelled pages."""
-    from .markup_pages import PAGES
+Model = tuple[np.ndarray, np.ndarray, np.ndarray]
+LABELLED = re.compile(r"⟦(\w+):(.*?)⟧", re.S)
+EDGE_SCALES = (0.0, 0.1, 0.3, 1.0)
+FOLDS = 4
+
 
+def labelled_signs() -> list[tuple[list[Mark], list[int]]]:
+    """(signs, whether each is markup) of every labelled line; lines label each sign by the regions set in brackets, or all of them."""
+    from .markup_pages import MIXED, PAGES
+
+    out = []
+    for families, text in PAGES:
+        marks = find_marks(text, set())
+        out.append((marks, [int(x.family in families) for x in marks]))
+    for text in MIXED:
+        plain, regions, at = "", [], 0
+        for m in LABELLED.finditer(text):
+            plain += text[at : m.start()]
+            regions.append((len(plain), len(plain) + len(m.group(2)), m.group(1)))
+            plain, at = plain + m.group(2), m.end()
+        plain += text[at:]
+        marks = find_marks(plain, {(a, b) for a, b, _ in regions})
+        out.append((marks, [int(any(a <= x.start and x.end <= b and f == x.family for a, b, f in regions)) for x in marks]))
+    return out
+
+
+def fit(lines: list[tuple[list[Mark], list[int]]]) -> Model:
+    """(sign biases, flag weights by sign, edge log-potentials) from labelled lines."""
     at = {n: i for i, n in enumerate(SIGN_NAMES)}
-    rows, labels, kinds = [], [], []
     edges = np.ones((2, 2))
-    for families, text in PAGES:
-        marks = find_marks(text)
-        for x in marks:
-            y = int(x.family in families)
-            rows.append(x.flags)
-            kinds.append(at[f"{x.family} {x.sign}"])
-            labels.append(y)
-            edges[int(marks[x.parent].family in families) if x.parent >= 0 else int(bool(families)), y] += 1
-    x, k, y = np.array(rows, float), np.array(kinds), np.array(labels, float)
+    for marks, labels in lines:
+        for x, y in zip(marks, labels):
+            edges[labels[x.parent] if x.parent >= 0 else int(any(labels)), y] += 1
+    x = np.array([m.flags for marks, _ in lines for m in marks], float)
+    k = np.array([at[f"{m.family} {m.sign}"] for marks, _ in lines for m in marks])
+    y = np.array([y for _, labels in lines for y in labels], float)
     bias, weights, shared = np.zeros(len(SIGN_NAMES)), np.zeros((len(SIGN_NAMES), len(FLAGS))), np.zeros(len(FLAGS))
     for _ in range(1500):
         z = bias[k] + (weights[k] * x).sum(axis=1) + x @ shared
@@ -163,22 +208,66 @@ def model() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         bias += 0.3 * (gb - 0.01 * bias)
         weights += 0.3 * (gw - 0.02 * weights)
         shared += 0.003 * (gap @ x)
-    edge = np.log(edges / edges.sum(axis=1, keepdims=True) / (edges.sum(axis=0) / edges.sum()))
-    return bias, weights + shared, 0.3 * edge
+    return bias, weights + shared, np.log(edges / edges.sum(axis=1, keepdims=True) / (edges.sum(axis=0) / edges.sum()))
+
+
+def held_out(scale: float, lines: list[tuple[list[Mark], list[int]]] | None = None) -> tuple[float, float]:
+    """(mean log-likelihood, share right) of signs of lines that the model was not fitted on, each fold left out once."""
+    lines = lines or labelled_signs()
+    total, right, n = 0.0, 0, 0
+    for fold in range(FOLDS):
+        bias, weights, edge = fit([x for i, x in enumerate(lines) if i % FOLDS != fold])
+        known = (bias, weights, scale * edge)
+        for marks, labels in (x for i, x in enumerate(lines) if i % FOLDS == fold):
+            infer([marks], known)
+            for x, y in zip(marks, labels):
+                total += math.log(max(1e-9, x.marginal if y else 1 - x.marginal))
+                right += int((x.marginal > 0.5) == bool(y))
+                n += 1
+    return total / max(1, n), right / max(1, n)
+
+
+_model: Model | None = None
+
+
+def model() -> Model:
+    """The model fitted from all labelled pages, its edges weighted by what lines left out say."""
+    global _model
+    if _model is None:
+        lines = labelled_signs()
+        bias, weights, edge = fit(lines)
+        scale = max(EDGE_SCALES, key=lambda x: held_out(x, lines)[0])
+        use_model((bias, weights, scale * edge))
+    return _model
+
+
+def use_model(known: Model) -> None:
+    """Takes a model that was fitted elsewhere, so that tasks need not fit it again."""
+    global _model
+    if _model is not known:
+        _model = known
+        _own_potential.cache_clear()
 
 
 @lru_cache(maxsize=200_000)
 def _own_potential(kind: str, flags: tuple[int, ...]) -> float:
-    bias, weights, _ = model()
+    return _potential(model(), kind, flags)
+
+
+def _potential(known: Model, kind: str, flags: tuple[int, ...]) -> float:
     i = SIGN_NAMES.index(kind)
-    return float(bias[i] + weights[i] @ np.array(flags, float))
+    return float(known[0][i] + known[1][i] @ np.array(flags, float))
+
 
+def infer(segments: list[list[Mark]], known: Model | None = None) -> None:
+    """Sum-product over the tree of one sentence: root, segments, marks. Fills in the marginals.
 
-def infer(segments: list[list[Mark]]) -> None:
-    """Sum-product over the tree of one sentence: root, segments, marks. Fills in the marginals."""
+    The root ties the text to its headings by the same edge potentials, so that markup in one makes it
+    likelier in the others.
+    """
     if not any(segments):
         return
-    edge = model()[2]
+    edge = (known or model())[2]
     parents, own = [-1], [(0.0, 0.0)]
     nodes: list[Mark | None] = [None]
     for marks in segments:
@@ -189,23 +278,21 @@ def infer(segments: list[list[Mark]]) -> None:
         first = len(parents)
         for x in marks:
             parents.append(seg if x.parent < 0 else first + x.parent)
-            own.append((0.0, _own_potential(f"{x.family} {x.sign}", x.flags)))
+            kind = f"{x.family} {x.sign}"
+            own.append((0.0, _potential(known, kind, x.flags) if known else _own_potential(kind, x.flags)))
             nodes.append(x)
     n = len(parents)
     up = [[0.0, 0.0] for _ in range(n)]  # message to the parent
     inside = [list(o) for o in own]
-    flat = [[0.0, 0.0], [0.0, 0.0]]
     for i in range(n - 1, 0, -1):  # children come after their parents
-        table = edge if nodes[i] is not None else flat
         for p in (0, 1):
-            up[i][p] = _logsum(table[p][0] + inside[i][0], table[p][1] + inside[i][1])
+            up[i][p] = _logsum(edge[p][0] + inside[i][0], edge[p][1] + inside[i][1])
             inside[parents[i]][p] += up[i][p]
     belief = [None] * n
     belief[0] = inside[0]
     for i in range(1, n):
-        table = edge if nodes[i] is not None else flat
         rest = [belief[parents[i]][p] - up[i][p] for p in (0, 1)]
-        down = [_logsum(rest[0] + table[0][c], rest[1] + table[1][c]) for c in (0, 1)]
+        down = [_logsum(rest[0] + edge[0][c], rest[1] + edge[1][c]) for c in (0, 1)]
         belief[i] = [inside[i][c] + down[c] for c in (0, 1)]
         if nodes[i] is not None:
             d = belief[i][0] - belief[i][1]
@@ -229,61 +316,130 @@ def families_in(text: str | None, path: list[str] | None, least: float = 0.5) ->
     return [f for f in FAMILIES if f in found]
 
 
+# What in a wiki file link says how it is set, and is no caption.
+FILE_SETTINGS = re.compile(r"(?:thumb(?:nail)?|frame(?:d|less)?|border|left|right|cent(?:er|re)|none|upright|baseline|middle|top|bottom|\d*x?\d+px|(?:alt|link|class|lang|page)=.*)$", re.I)
+HEADING_COMMANDS = ("part", "chapter", "section", "subsection", "subsubsection", "paragraph")
+KEY_COMMANDS = ("label", "ref", "eqref", "pageref", "cite", "citep", "citet", "begin", "end", "documentclass", "usepackage", "includegraphics", "input", "bibliography")
+
+
+class _Cleaner:
+    """Renders the tree of a text: markup is removed, what it holds is cleaned in turn."""
+
+    def __init__(self, text: str, marks: list[Mark], least: float):
+        self.text, self.block = text, "text"
+        self.codes: list[str] = []
+        self.formulas: list[str] = []
+        held = [i for i, x in enumerate(marks) if x.marginal > least]
+        self.children: dict[int, list[Mark]] = {}
+        self.number = {id(marks[i]): i for i in held}
+        kept = set(held)
+        for i in held:
+            up = marks[i].parent
+            while up >= 0 and up not in kept:
+                up = marks[up].parent
+            self.children.setdefault(up, []).append(marks[i])
+
+    def render(self, start: int, end: int, owner: int = -1) -> str:
+        """The text from start to end with the marks in it, those below ``owner``, rendered."""
+        out, at = [], start
+        for x in self.children.get(owner, ()):
+            if at <= x.start and x.end <= end:
+                out += [self.text[at : x.start], self.put(x)]
+                at = x.end
+        return "".join([*out, self.text[at:end]])
+
+    def inner(self, x: Mark, lead: int, tail: int) -> str:
+        return self.render(x.start + lead, max(x.start + lead, x.end - tail), self.number[id(x)])
+
+    def put(self, x: Mark) -> str:
+        own = self.text[x.start : x.end]
+        kind = f"{x.family} {x.sign}"
+        if x.sign in ("list", "task", "quote"):
+            self.block = "quote" if x.sign == "quote" else "list item"
+            return ""
+        if x.sign == "row":
+            self.block = "row"
+            return " ".join(self.inner(x, 0, 0).replace("|", " ").split())
+        if x.sign == "heading":
+            self.block = "heading"
+            lead = re.match(r"\s*[#=]*\s*", own).end()
+            tail = len(own) - len(re.sub(r"\s*=+\s*$", "", own)) if x.family == "wiki" else 0
+            return self.inner(x, lead, tail) if lead + tail <= len(own) else ""
+        if x.sign == "code":
+            inner = own.strip("` ")
+            if inner:
+                self.codes.append(inner)
+            return inner
+        if x.sign == "math":
+            self.formulas.append(own)
+            return own
+        if kind == "html reference":
+            return html.unescape(own)
+        if x.sign == "tag":
+            name = re.match(r"</?([A-Za-z][A-Za-z0-9]*)|<!", own).group(1) or ""
+            self.block = "heading" if re.fullmatch("h[1-6]", name.lower()) else "list item" if name.lower() == "li" else self.block
+            return "\n" if name.lower() == "br" else ""
+        if x.sign == "command":
+            return self.command(x, own)
+        if x.sign == "group":
+            return self.inner(x, re.match(r"\{\\[A-Za-z]+\s*", own).end(), 1)
+        if x.sign == "braces":
+            return self.inner(x, 1, 1) if len(own) > 1 else ""
+        if x.sign in ("stars", "unders", "strike", "quotes"):
+            lead, tail = len(own) - len(own.lstrip("*_~'")), len(own) - len(own.rstrip("*_~'"))
+            return self.inner(x, lead, tail) if lead < len(own) else ""
+        if kind in ("markdown link", "markdown image"):
+            m = re.match(r"!?\[([^\[\]]*)\]", own)
+            return self.inner(x, m.start(1), len(own) - m.end(1))
+        if x.sign == "brackets":
+            return self.inner(x, 1, 1)
+        if kind == "wiki link":
+            return self.wiki_link(x, own)
+        if x.sign == "outer link":
+            m = re.search(r"\s", own)
+            return self.inner(x, m.end(), 1) if m else ""
+        if x.sign == "template":
+            # what a template is given without a name is content: {{small|Anna}}, but not {{cn}} or |date=June
+            parts = [p.strip() for p in self.inner(x, 2, 2).split("|")[1:]] if len(own) > 2 else []
+            return " ".join(p for p in parts if p and not re.match(r"[\w\- ]+=", p))
+        if x.sign == "escape":
+            return own[1:]
+        return own[1:-1] if x.sign == "autolink" else ""
+
+    def command(self, x: Mark, own: str) -> str:
+        head = re.match(r"\\([A-Za-z]*)", own).group(1)
+        if not head:
+            return " " if own in ("\\,", "\\;", "\\:") else "" if own == "\\!" else own[1:]
+        if head in HEADING_COMMANDS:
+            self.block = "heading"
+        elif head == "item":
+            self.block = "list item"
+        m = re.search(r"\{([^{}]*)\}$", own)
+        if head in KEY_COMMANDS or not m:
+            return {"ldots": "…", "dots": "…"}.get(head, "")
+        inner = self.inner(x, m.start(1), 1)
+        return {"ldots": "…", "dots": "…"}.get(head, "") + inner if head != "footnote" else f" ({inner})"
+
+    def wiki_link(self, x: Mark, own: str) -> str:
+        if len(own) <= 2 or re.match(r"\[\[\s*Category:", own, re.I):
+            return ""
+        parts = self.inner(x, 2, 2).split("|")
+        if re.match(r"\s*(?:File|Image):", parts[0], re.I):
+            captions = [p.strip() for p in parts[1:] if p.strip() and not FILE_SETTINGS.match(p.strip())]
+            return captions[-1] if captions else ""
+        return parts[-1]
+
+
 def clean(text: str | None, marks: list[Mark], least: float = 0.5) -> tuple[str, str, list[str], list[str]]:
-    """(clean text, block, code pieces, formulas): markup removed, headings, lists, code and formulas kept as such."""
+    """(clean text, block, code pieces, formulas): markup removed, headings, lists, code and formulas kept as such.
+
+    What markup holds is kept: link texts, captions, footnotes, what templates and commands are given.
+    """
     if not text:
         return text or "", "text", [], []
-    block, codes, formulas = "text", [], []
-    out, at = [], 0
-    held = [x for x in marks if x.marginal > least]
-    for x in held:
-        if x.start < at:
-            continue
-        out.append(text[at : x.start])
-        own = text[x.start : x.end]
-        put = ""
-        if x.sign in ("list", "task"):
-            block = "list item"
-        elif x.sign == "quote":
-            block = "quote"
-        elif x.sign == "row":
-            block, put = "row", " ".join(own.replace("|", " ").split()) if own.count("|") > 1 else ""
-        elif x.sign == "heading":
-            block, put = "heading", own.strip().strip("=#").strip()
-        elif x.sign == "code" and len(own) > 2:
-            codes.append(own.strip("` "))
-            put = own.strip("` ")
-        elif x.sign == "math":
-            formulas.append(own)
-            put = own
-        elif x.family == "html" and x.sign == "reference":
-            put = html.unescape(own)
-        elif x.sign == "tag":
-            name = re.match(r"</?([A-Za-z][A-Za-z0-9]*)", own).group(1).lower()
-            block = "heading" if re.fullmatch("h[1-6]", name) else "list item" if name == "li" else block
-            put = "\n" if name == "br" else ""
-        elif x.sign == "command":
-            head = re.match(r"\\([A-Za-z]*)", own).group(1)
-            inner = re.search(r"\{([^{}]*)\}$", own)
-            if head in ("section", "subsection", "subsubsection", "chapter", "paragraph"):
-                block = "heading"
-            put = "" if head in ("label", "ref", "cite", "footnote") else inner.group(1) if inner else {"ldots": "…"}.get(head, own[1:] if not head else "")
-            if not head and own == "\\,":
-                put = " "
-        elif x.sign in ("stars", "unders", "strike", "group", "quotes"):
-            put = re.sub(r"^\{\\[A-Za-z]+\s*|^[*_~']+|[*_~'}]+$", "", own)
-        elif x.sign in ("link", "image") and x.family == "markdown":
-            put = re.match(r"!?\[([^\[\]]*)\]", own).group(1)
-        elif x.sign == "link":
-            put = own.strip("[]").rpartition("|")[2] if not re.match(r"\[\[(?:File|Category|Image):", own) else ""
-        elif x.sign == "outer link":
-            put = own.strip("[]").partition(" ")[2]
-        elif x.sign == "escape":
-            put = own[1:]
-        out.append(put)
-        at = x.end
-    out.append(text[at:])
-    return re.sub(r"[ \t]{2,}", " ", "".join(out)).strip(), block, codes, formulas
+    c = _Cleaner(text, marks, least)
+    out = c.render(0, len(text))
+    return re.sub(r"[ \t]{2,}", " ", out).strip(), c.block, c.codes, c.formulas
 
 
 def _latest(sentences: DataFrame) -> DataFrame:
@@ -295,7 +451,10 @@ def _latest(sentences: DataFrame) -> DataFrame:
 def markup_found(sentences: DataFrame) -> DataFrame:
     """(sentence_id, markup): one row for each family of markup that a sentence or its heading path holds."""
 
+    known = model()
+
     def rows(c: dict[str, list]) -> Iterable[tuple]:
+        use_model(known)
         for sid, text, path in zip(c["sentence_id"], c["text"], c["heading_path"]):
             for family in families_in(text, path):
                 yield sid, family
@@ -307,7 +466,10 @@ def clean_sentences(sentences: DataFrame) -> DataFrame:
     """(sentence_id, clean_text, block, codes, formulas, clean_path) of every sentence."""
     schema = "sentence_id string, clean_text string, block string, codes array<string>, formulas array<string>, clean_path array<string>"
 
+    known = model()
+
     def rows(c: dict[str, list]) -> Iterable[tuple]:
+        use_model(known)
         for sid, text, path in zip(c["sentence_id"], c["text"], c["heading_path"]):
             segments = judge(text, path)
             body, block, codes, formulas = clean(text, segments[0])

@@ -171,7 +171,7 @@ def test_sum_product_equals_enumeration():
     total, on = 0.0, [0.0] * len(marks)
     for root, seg in itertools.product((0, 1), repeat=2):
         for states in itertools.product((0, 1), repeat=len(marks)):
-            score = 0.0
+            score = edge[root][seg]
             for m, s in zip(marks, states):
                 parent = states[m.parent] if m.parent >= 0 else seg
                 score += edge[parent][s] + (markup._own_potential(f"{m.family} {m.sign}", m.flags) if s else 0.0)
@@ -192,6 +192,29 @@ def test_clean_keeps_structure():
     assert codes == ["make"] and formulas == ["$x_i < 2$"] and "make" in body and "$x_i < 2$" in body
 
 
+KEPT = [
+    ("{{small|Anna}} built it", "Anna built it"), ("Built\\footnote{in old days} well", "Built (in old days) well"), ("[[File:a.png|thumb|A caption]] x", "A caption x"), ("**see [the page](a/b.md)** now", "see the page now"),
+    ("| a | **b** |", "a b"), ("Price is $5 and $x^2$ grows.", "Price is $5 and $x^2$ grows."), ("It stands {{cn}} since {{as of|2011}}", "It stands since 2011"), ("A ~~gone **and** lost~~ one", "A gone and lost one"), ("See \\textbf{the [[mill]]} here", "See the mill here"),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), KEPT)
+def test_clean_keeps_what_markup_holds(text, want):
+    assert markup.clean(text, markup.judge(text)[0])[0] == want
+
+
+def test_overlapping_pairs_compete():
+    marks = markup.judge("Price is $5 and $x^2$ grows.")[0]
+    assert [(m.sign, m.marginal > 0.5) for m in marks if m.sign in ("math", "dollar")] == [("dollar", False), ("math", True)]
+    assert markup.families_in("A_b_c and __init__", None) == []
+    assert markup.families_in("They kept the __gate__ open.", None) == ["markdown"]
+
+
+def test_signs_of_left_out_pages():
+    mean, right = markup.held_out(0.1)
+    assert right >= 0.94 and mean > -0.25
+
+
 def test_sentences_table_and_odd_rows(spark):
     schema = "sentence_id string, text string, heading_path array<string>, parsed_at timestamp, markup string"
     rows = [("a", "plain", ["<b>T</b>"], AT, "q"), ("b", "**x**", None, AT, "q"), ("b", "plain", None, AT + datetime.timedelta(days=1), "q"), ("c", None, [], AT, None), (None, "`c`", [None, ""], None, None), ("d", "<i>" * 3000, [], AT, "q"), ("e", "plain **b", [], AT, "q"), ("e", "plain **b", [], AT, "q")]
