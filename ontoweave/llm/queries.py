@@ -22,7 +22,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _linked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    spelled = names.distinct_names([table(spark, d, "mentions").select("text"), table(spark, d, "gold_names").select("name")])
+    spelled = names.distinct_names([table(spark, d, "mentions").select("text", "entity_type"), table(spark, d, "gold_names").select("name", "entity_type")])
     spelled = cut_lineage(spelled)
     return spelled, cut_lineage(names.link_names(spelled))
 
