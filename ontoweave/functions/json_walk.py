@@ -86,69 +86,123 @@ def array_paths(value: Any, maps: frozenset[str] = frozenset()) -> set[str]:
     return found
 
 
-def element_rows(value: Any, arrays: frozenset[str]) -> Iterator[tuple[str, str, str, int, dict]]:
-    """(array path, child, parent, ordinal, object) of every object that is an element of an array.
+def last_step(path: str) -> str:
+    return path.rpartition(".")[2]
 
-    ``child`` is the element's path with its indices, ``parent`` that of the nearest enclosing
-    element or ''. ``arrays`` is the merged schema's set of array-of-object paths.
+
+def element_rows(value: Any, arrays: frozenset[str], entries: frozenset[str] = frozenset()) -> Iterator[tuple[str, str, str, tuple[int, ...], str | None, Any]]:
+    """(place, child, parent, ordinals, key, element) of every object that is an element of an array, and of every entry of the ``entries`` maps.
+
+    ``place`` is the path with ``[]`` for indices and ``*`` for keys of maps, ``child`` the element's own path,
+    ``parent`` that of the nearest enclosing element or '', ``key`` that of an entry. ``arrays`` is the merged schema's set of
+    array-of-object paths.
     """
-    todo = [("", "", "", value)]
+    todo: list[tuple[str, str, str, tuple[int, ...], Any]] = [("", "", "", (), value)]
     while todo:
-        norm, path, parent, x = todo.pop()
+        norm, path, parent, at, x = todo.pop()
         x = opened(x)
         if isinstance(x, dict) and norm in arrays:
             x = [x]
-        if isinstance(x, dict):
+        if isinstance(x, dict) and norm and last_step(norm) in entries:
+            for i, (k, v) in enumerate(x.items()):
+                v, here = opened(v), f"{path}.{k}"
+                yield f"{norm}.*", here, parent, (*at, i), k, v
+                if isinstance(v, dict):
+                    todo.extend((f"{norm}.*.{kk}", f"{here}.{kk}", here, (*at, i), w) for kk, w in v.items() if isinstance(w, (dict, list, str)))
+                elif isinstance(v, list):
+                    todo.append((f"{norm}.*", here, here, (*at, i), v))
+        elif isinstance(x, dict):
             for k, v in x.items():
                 if isinstance(v, (dict, list, str)):
-                    todo.append((f"{norm}.{k}" if norm else k, f"{path}.{k}" if path else k, parent, v))
+                    todo.append((f"{norm}.{k}" if norm else k, f"{path}.{k}" if path else k, parent, at, v))
         elif isinstance(x, list):
             for i, v in enumerate(x):
                 v, here = opened(v), f"{path}[{i}]"
                 if isinstance(v, dict):
-                    yield norm, here, parent, i, v
+                    yield f"{norm}[]", here, parent, (*at, i), None, v
                     for k, w in v.items():
                         if isinstance(w, (dict, list, str)):
-                            todo.append((f"{norm}[].{k}", f"{here}.{k}", here, w))
+                            todo.append((f"{norm}[].{k}", f"{here}.{k}", here, (*at, i), w))
                 elif isinstance(v, list):
-                    todo.append((f"{norm}[]", here, parent, v))
+                    todo.append((f"{norm}[]", here, parent, (*at, i), v))
+
+
+# what a field's text stands for
+KINDS = {"s": "string", "i": "bigint", "n": "double", "b": "boolean", "a": "string", "o": "string", "z": "string"}
+
+
+def as_json(value: Any) -> str:
+    return safe(json.dumps(value, ensure_ascii=False, separators=(",", ":")))
+
 
+def own_fields(obj: Any, arrays: frozenset[str], place: str, entries: frozenset[str] = frozenset(), kept: frozenset[str] = frozenset()) -> dict[str, tuple[str, str | None]]:
+    """field -> (kind, text) of what stays in the element's own row; nothing of the element is lost.
 
-def own_fields(obj: dict, arrays: frozenset[str], norm: str) -> dict[str, str]:
-    """The fields of one element that stay in its own row: scalars, scalar arrays as JSON, inner objects dotted."""
-    out: dict[str, str] = {}
-    todo = [("", obj)]
+    Scalars stay as they are and nulls as nulls (kinds as in ``KINDS``), inner objects are dotted; empty objects,
+    the maps named in ``kept`` and arrays stay as JSON. Of an array whose objects are rows of their own only
+    other elements stay, in their places. An element that is no object has one field, ``value``.
+    """
+    out: dict[str, tuple[str, str | None]] = {}
+    todo: list[tuple[str, Any]] = [("", obj if isinstance(obj, dict) else {"value": obj})]
     while todo:
         name, x = todo.pop()
         x = opened(x) if name else x
-        if isinstance(x, (dict, list)) and name and f"{norm}[].{name}" in arrays:
-            continue
+        full = f"{place}.{name}" if place and name else name or place
         if isinstance(x, dict):
-            todo.extend((f"{name}.{k}" if name else k, v) for k, v in x.items())
+            if name and (full in arrays or last_step(name) in entries):
+                continue
+            if name and (not x or last_step(name) in kept):
+                out[safe(name)] = ("o", as_json(x))
+            else:
+                todo.extend((f"{name}.{k}" if name else k, v) for k, v in x.items())
         elif isinstance(x, list):
-            if not any(isinstance(opened(v), (dict, list)) for v in x):
-                out[safe(name)] = safe(json.dumps(x, ensure_ascii=False))
-        elif x is not None:
-            out[safe(name)] = safe(x) if isinstance(x, str) else json.dumps(x)
+            rows = [full in arrays and isinstance(opened(v), dict) for v in x]
+            if not all(rows) or not x:
+                out[safe(name)] = ("a", as_json([None if row else v for row, v in zip(rows, x)]))
+        elif x is None:
+            out[safe(name)] = ("z", None)
+        elif isinstance(x, str):
+            out[safe(name)] = ("s", safe(x))
+        else:
+            out[safe(name)] = ("b" if isinstance(x, bool) else "i" if isinstance(x, int) else "n", json.dumps(x))
     return out
 
 
-def typed_fields(value: Any, arrays: frozenset[str], maps: frozenset[str]) -> Iterator[tuple[str, str, Any]]:
-    """(path, type, scalar or None) of every field with a value other than null; map keys are ``*``."""
+OBJECTS = "objects"
+
+
+def typed_fields(value: Any, maps: frozenset[str]) -> Iterator[tuple[str, str, Any]]:
+    """(path, type, scalar or None) of every field with a value other than null; map keys are ``*``.
+
+    Arrays that hold an object also give (path, ``OBJECTS``, None): where other records have a lone object there,
+    ``as_elements`` reads it as their element.
+    """
     todo: list[tuple[str, Any, bool]] = [("", value, False)]
     while todo:
         path, x, field = todo.pop()
         x = opened(x)
         if x is None:
             continue
-        if isinstance(x, dict) and path in arrays:
-            x = [x]
         if field:
             yield path, kind_of(x), x if not isinstance(x, (dict, list)) else None
         if isinstance(x, dict):
-            is_map = path.rpartition(".")[2] in maps
+            is_map = last_step(path) in maps
             for k, v in x.items():
                 k = "*" if is_map else k
                 todo.append((f"{path}.{k}" if path else k, v, True))
         elif isinstance(x, list):
-            todo.extend((f"{path}[]", v, False) for v in x)
+            held = [opened(v) for v in x]
+            if any(isinstance(v, dict) for v in held):
+                yield path, OBJECTS, None
+            todo.extend((f"{path}[]", v, False) for v in held)
+
+
+def as_elements(path: str, arrays: frozenset[str]) -> str:
+    """A path on which lone objects at the places of arrays are read as elements: ``a.b`` as ``a[].b``."""
+    done, rest = "", path
+    while rest:
+        step, dot, rest = rest.partition(".")
+        done = f"{done}.{step}" if done else step
+        if dot and done in arrays:
+            done += "[]"
+    return done

@@ -4,7 +4,9 @@ Method: each file's fields are profiled (types, counts, a bottom-k sketch of val
 compared with the one before them in their feed; fields that end and fields of the same type that
 begin under the same parent are matched by a maximum-weight bipartite assignment over name and
 value-sketch similarity (a match is always made where one is possible, the weights only choose
-among partners); matched columns are then unified under their newest name.
+among partners); matched columns are then unified under their newest name, in rows that keep their place
+in every array and give one typed table for each kind of element (``element_table``). Each JSON is read once
+for the report and once for the table.
 
 Defined results: unreadable, null and empty records do not count, a file without readable records is
 no file; the first file of a feed has no changes; a field with values of several types in one file
@@ -21,13 +23,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.json_walk import MISSING, own_fields, opened, read_json, safe, typed_fields
-from ..session import collect_bounded, over_rows, spread
-from .nested import array_schema
+from ..functions.json_walk import KINDS, MISSING, OBJECTS, as_elements, element_rows, opened, own_fields, read_json, safe, typed_fields
+from ..session import collect_bounded, cut_lineage, over_rows, spread
+from .nested import SCHEMA_PATHS_MOST, array_schema
 
-MAP_FIELDS = frozenset({"answers", "probabilities", "legend"})
+MAP_FIELDS, ENTRIES = frozenset({"answers", "probabilities", "legend"}), frozenset({"answers"})
 SKETCH_SIZE = 16
-CHANGES_MOST = 200_000
 CHANGE_SCHEMA = "feed string, file_no int, change string, field string, new_field string"
 
 
@@ -35,8 +36,11 @@ def _hash(value) -> int:
     return int.from_bytes(hashlib.blake2b(repr(value).encode("utf-8", "replace"), digest_size=7).digest(), "big")
 
 
-def profile_files(df: DataFrame, json_col: str, arrays: frozenset[str]) -> DataFrame:
-    """(feed, file_no, path, type, n, sketch) for each field of each file; combined per batch before the shuffle."""
+PART = "feed string, file_no int, path string, type string, n long, sketch array<long>"
+
+
+def profile_files(df: DataFrame, json_col: str) -> DataFrame:
+    """(feed, file_no, path, type, n, sketch) for each field of each file; summed in each task before the shuffle."""
 
     def rows(cols: dict[str, list]) -> Iterable[tuple]:
         seen: dict[tuple, list] = defaultdict(lambda: [0, set()])
@@ -45,7 +49,7 @@ def profile_files(df: DataFrame, json_col: str, arrays: frozenset[str]) -> DataF
             if value is MISSING:
                 continue
             seen[feed, no, "", "file"][0] += 1
-            for path, kind, scalar in typed_fields(value, arrays, MAP_FIELDS):
+            for path, kind, scalar in typed_fields(value, MAP_FIELDS):
                 at = seen[feed, no, path, kind]
                 at[0] += 1
                 if scalar is not None:
@@ -56,14 +60,29 @@ def profile_files(df: DataFrame, json_col: str, arrays: frozenset[str]) -> DataF
             yield feed, no, safe(path), kind, n, sorted(sketch)[:SKETCH_SIZE]
 
     records = df.select("feed", F.col("file_no").cast("int").alias("file_no"), F.col(json_col).alias("body"))
-    parts = over_rows(spread(records), "feed string, file_no int, path string, type string, n long, sketch array<long>", rows)
-    # array_distinct(sort) of unions keeps the k smallest hashes: a mergeable bottom-k sketch
-    merged = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sketch")))), 1, SKETCH_SIZE)
-    by_type = parts.groupBy("feed", "file_no", "path", "type").agg(F.sum("n").alias("n"), merged.alias("sketch"))
+    by_type = cut_lineage(_merged(over_rows(spread(records), PART, rows)))
+    arrays = frozenset(r.path for r in collect_bounded(by_type.where(F.col("type") == OBJECTS).select("path").distinct(), SCHEMA_PATHS_MOST, "paths of arrays"))
+    while (more := frozenset(as_elements(p, arrays) for p in arrays) | arrays) != arrays:
+        arrays = more
+
+    def elements(cols: dict[str, list]) -> Iterable[tuple]:
+        for feed, no, path, kind, n, sketch in zip(*cols.values()):
+            path = as_elements(path, arrays)
+            yield feed, no, path, "array" if kind == "object" and path in arrays else kind, n, sketch
+
+    by_type = _merged(over_rows(by_type.where(F.col("type") != OBJECTS), PART, elements))
     main = F.min_by(F.struct("type", "sketch"), F.struct(-F.col("n"), F.col("type")))
     return by_type.groupBy("feed", "file_no", "path").agg(main.alias("m"), F.sum("n").alias("n")).select("feed", "file_no", "path", "m.type", "n", "m.sketch")
 
 
+def _merged(parts: DataFrame) -> DataFrame:
+    """One row for each feed, file, path and type, with the k smallest of all hashes: first of every few parts, so that no file gathers all its sketches in one row."""
+    keys = ("feed", "file_no", "path", "type")
+    least = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sketch")))), 1, SKETCH_SIZE)
+    few = parts.withColumn("_few", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy(*keys, "_few").agg(F.sum("n").alias("n"), least.alias("sketch"))
+    return few.groupBy(*keys).agg(F.sum("n").alias("n"), least.alias("sketch"))
+
+
 def _grams(name: str) -> set[str]:
     text = f"^{name.lower()}$"
     return {text[i : i + 2] for i in range(len(text) - 1)}
@@ -164,48 +183,110 @@ def changes(profiles: DataFrame) -> DataFrame:
 
 def drift_report(df: DataFrame, json_col: str) -> DataFrame:
     """All changes between neighbouring files of each feed of a table with feed, file_no and a JSON column."""
-    return changes(profile_files(df, json_col, array_schema(df, json_col, MAP_FIELDS)))
+    return changes(profile_files(df, json_col))
+
 
+NEWEST = "feed string, file_no int, old array<string>, newest array<string>"
 
-def unified(df: DataFrame, json_col: str, report: DataFrame) -> DataFrame:
-    """(feed, file_no, record, field, value): every field under the newest name it ever got in its feed.
 
-    The report is bounded by the number of schema changes (checked), so it travels to the tasks.
-    Retyped fields are read as strings, which every JSON scalar converts to without loss.
+def newest_names(files: DataFrame, report: DataFrame) -> DataFrame:
+    """(feed, file_no, old, newest): for each file the fields of it that are renamed later, and what they are called in the end.
+
+    ``files`` has feed and file_no. A feed is walked backwards from its last file; what meets there is one row a
+    file and one a rename, not the records.
     """
-    renames: dict[str, list[tuple[int, str, str]]] = defaultdict(list)
-    for r in collect_bounded(report.where(F.col("change") == "renamed"), CHANGES_MOST, "renames"):
-        renames[r.feed].append((r.file_no, r.field, r.new_field))
-    for steps in renames.values():
-        steps.sort()
-
-    def newest(feed: str, no: int, path: str) -> str:
-        for at, old, new in renames.get(feed, ()):
-            if at > no and (path == old or path.startswith((old + ".", old + "["))):
-                path = new + path[len(old) :]
-        return path
+    steps = report.where(F.col("change") == "renamed").select("feed", "file_no", F.col("field").alias("old"), F.col("new_field").alias("new"))
+    rows = files.select("feed", "file_no", F.lit(None).cast("string").alias("old"), F.lit(None).cast("string").alias("new")).distinct().unionByName(steps)
 
-    def rows(cols: dict[str, list]) -> Iterable[tuple]:
-        for feed, no, text in zip(cols["feed"], cols["file_no"], cols["body"]):
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        known: dict[str, str] = {}
+        out = []
+        for no, part in sorted(pdf.groupby("file_no"), key=lambda x: -x[0]):
+            if known and part["old"].isna().any():
+                out.append((pdf.feed.iloc[0], no, list(known), list(known.values())))
+            renamed = {r.old: newest(r.new, known) for r in part.itertuples() if not pd.isna(r.old)}
+            known = {k: v for k, v in known.items() if k not in renamed.values()} | renamed
+        return pd.DataFrame(out, columns=["feed", "file_no", "old", "newest"])
+
+    return rows.groupBy("feed").applyInPandas(walk, NEWEST)
+
+
+def newest(path: str, known: dict[str, str]) -> str:
+    """A field under its newest name: its own, or that of the nearest field above it which has one."""
+    at = path
+    while at:
+        if at in known:
+            return known[at] + path[len(at) :]
+        if at.endswith("[]"):
+            at = at[:-2]
+        else:
+            at = at.rpartition(".")[0]
+    return path
+
+
+UNIFIED = "feed string, file_no int, record string, place string, ordinals array<int>, map_key string, fields map<string,string>, kinds map<string,string>"
+
+
+def unified(df: DataFrame, json_col: str, report: DataFrame, record: list[str]) -> DataFrame:
+    """``UNIFIED``: every record's root, elements of arrays and entries of maps as rows, under the newest names their feed has.
+
+    ``record`` names the columns that tell records apart within a file; rows that repeat each other count once.
+    ``place`` is where a row stands (``entities[]``, ``answers.*``, '' for the root), ``ordinals`` its index at each
+    level above it, so that its parent is the row with one ordinal less; ``map_key`` its key in a map.
+    """
+    arrays = array_schema(df, json_col, MAP_FIELDS)
+    while (more := frozenset(as_elements(p, arrays) for p in arrays) | arrays) != arrays:
+        arrays = more
+    key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in record])
+    rows = df.select("feed", F.col("file_no").cast("int").alias("file_no"), key.alias("record"), F.col(json_col).alias("body")).where(F.col("body") != "").distinct()
+    names = newest_names(rows.select("feed", "file_no").distinct(), report)
+    rows = rows.alias("r").join(names.alias("n"), F.col("r.feed").eqNullSafe(F.col("n.feed")) & (F.col("r.file_no") == F.col("n.file_no")), "left").select("r.*", "old", "newest")
+
+    def elements(cols: dict[str, list]) -> Iterable[tuple]:
+        for feed, no, record, text, old, new in zip(*(cols[c] for c in ("feed", "file_no", "record", "body", "old", "newest"))):
             value = read_json(text)
             value = opened(value) if value is not MISSING else None
-            if isinstance(value, dict):
-                key = hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).hexdigest()
-                for path, scalar in _leaves(value):
-                    yield feed, no, key, safe(newest(feed, no, path)), safe(scalar)
+            if value is None:
+                continue
+            known = dict(zip(old or (), new or ()))
+            root = value if isinstance(value, dict) else {} if isinstance(value, list) and "" in arrays else {"value": value}
+            for place, at, map_key, obj in (("", (), None, root), *((p, o, k, x) for p, _, _, o, k, x in element_rows(value, arrays, ENTRIES))):
+                fields = own_fields(obj, arrays, place, ENTRIES, MAP_FIELDS)
+                # a field's newest name is looked up by its whole path, then cut at the row's own place
+                here = newest(place, known) if place else ""
+                named = {}
+                for f, v in fields.items():
+                    full = newest(f"{place}.{f}" if place else f, known)
+                    named[full[len(here) + 1 :] if here and full.startswith(here + ".") else full] = v
+                yield feed, no, record, safe(here), list(at), safe(map_key) if map_key is not None else None, [(safe(k), v) for k, (_, v) in named.items()], [(safe(k), t) for k, (t, _) in named.items()]
 
-    records = df.select("feed", F.col("file_no").cast("int").alias("file_no"), F.col(json_col).alias("body"))
-    return over_rows(spread(records), "feed string, file_no int, record string, field string, value string", rows)
-
-
-def _leaves(value: dict) -> Iterable[tuple[str, str]]:
-    todo: list[tuple[str, object]] = [("", value)]
-    while todo:
-        path, x = todo.pop()
-        x = opened(x)
-        if isinstance(x, dict):
-            todo.extend((f"{path}.{k}" if path else k, v) for k, v in x.items())
-        elif isinstance(x, list):
-            todo.extend((f"{path}[]", v) for v in x)
-        elif x is not None:
-            yield path, own_fields({"v": x}, frozenset(), "")["v"]
+    return over_rows(spread(rows), UNIFIED, elements)
+
+
+def element_table(rows: DataFrame, place: str) -> DataFrame:
+    """The typed table of all the elements of one place: feed, file_no, record, ordinals, map_key and a column for each field.
+
+    A field that has several types in the feeds' history is a string, whole numbers among others are double.
+    """
+    own = rows.where(F.col("place") == place)
+    pairs = own.select(F.explode("kinds").alias("field", "kind")).distinct()
+    seen: dict[str, set[str]] = defaultdict(set)
+    for r in collect_bounded(pairs, SCHEMA_PATHS_MOST, "fields of the unified table"):
+        seen[r.field].add(KINDS[r.kind] if r.kind != "z" else "")
+    taken = {"feed", "file_no", "record", "ordinals", "map_key"}
+    columns = []
+    for field, types in sorted(seen.items()):
+        types -= {""}
+        kind = next(iter(types)) if len(types) == 1 else "double" if types == {"bigint", "double"} else "string"
+        name = field.replace(".", "_")
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        columns.append((F.col("fields")[field] if kind == "string" else F.col("fields")[field].try_cast(kind)).alias(name))
+    return own.select("feed", "file_no", "record", "ordinals", "map_key", *columns)
+
+
+def values(rows: DataFrame) -> DataFrame:
+    """(feed, file_no, record, place, ordinals, map_key, field, kind, value): the unified rows with one field each, nulls left out."""
+    out = rows.select("feed", "file_no", "record", "place", "ordinals", "map_key", "kinds", F.explode("fields").alias("field", "value")).where(F.col("value").isNotNull())
+    return out.select("feed", "file_no", "record", "place", "ordinals", "map_key", "field", F.col("kinds")[F.col("field")].alias("kind"), "value")

@@ -2,11 +2,12 @@
 
 Method: one pass infers the merged schema (which paths hold arrays of objects anywhere in the data),
 a second explodes every array level of every record into rows that carry the record's key, a
-surrogate key, the parent row's surrogate key and the ordinal in the array. The schema is bounded by
-the shape of the records, not by their number, and its size is checked before it is sent to tasks.
+surrogate key, the parent row's surrogate key and the ordinal in the array. Every record has a root row,
+the parent of its first level. The schema is bounded by the shape of the records, not by their number, and its
+size is checked before it is sent to tasks. ``child_table`` gives the typed flat table of one place.
 
 Defined results: null, empty and unreadable JSON gives no rows; a record without arrays of objects
-gives no child rows; of rows with one id only the latest counts (ties: the greater text); an empty
+gives its root row only; nothing of a record is lost, what cannot be a column of its row stays as JSON; of rows with one id only the latest counts (ties: the greater text); an empty
 table gives empty tables; other columns of the input, whatever their names, are ignored.
 """
 
@@ -17,11 +18,11 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.json_walk import MISSING, array_paths, element_rows, opened, own_fields, read_json, safe
+from ..functions.json_walk import KINDS, MISSING, array_paths, element_rows, opened, own_fields, read_json, safe
 from ..session import collect_bounded, over_rows, spread
 
 SCHEMA_PATHS_MOST = 20_000
-NODE_SCHEMA = "record_id string, array_path string, child string, parent string, ordinal int, fields map<string,string>"
+NODE_SCHEMA = "record_id string, place string, child string, parent string, ordinal int, fields map<string,string>, kinds map<string,string>"
 
 
 def latest_json(df: DataFrame, id_col: str, json_col: str, at_col: str) -> DataFrame:
@@ -46,10 +47,10 @@ def array_schema(df: DataFrame, json_col: str, maps: frozenset[str] = frozenset(
     return frozenset(r.path for r in collect_bounded(found, SCHEMA_PATHS_MOST, "paths of arrays in the merged schema"))
 
 
-def explode_arrays(records: DataFrame, arrays: frozenset[str], with_fields: bool = True) -> DataFrame:
-    """One row for each object that is an element of an array, at any depth (``NODE_SCHEMA``).
+def explode_arrays(records: DataFrame, arrays: frozenset[str], entries: frozenset[str] = frozenset(), kept: frozenset[str] = frozenset(), with_fields: bool = True) -> DataFrame:
+    """One row for each record (its root, with place '' and no parent), for each object that is an element of an array, at any depth, and for each entry of the ``entries`` maps (``NODE_SCHEMA``).
 
-    ``records`` has record_id and body. Each array level becomes the rows of one ``array_path``.
+    ``records`` has record_id and body. Each array level becomes the rows of one ``place``.
     """
 
     def rows(cols: dict[str, list]) -> Iterable[tuple]:
@@ -57,13 +58,25 @@ def explode_arrays(records: DataFrame, arrays: frozenset[str], with_fields: bool
             value = read_json(text)
             if value is MISSING:
                 continue
-            for norm, child, parent, at, obj in element_rows(value, arrays):
-                fields = list(own_fields(obj, arrays, norm).items()) if with_fields else None
-                yield rid, safe(norm), safe(child), safe(parent), at, fields
+            value = opened(value)
+            if value is None:
+                continue
+            if with_fields:
+                root = own_fields(value if isinstance(value, dict) else {} if isinstance(value, list) and "" in arrays else value, arrays, "", entries, kept)
+                yield rid, "", "", None, 0, *_maps(root)
+            else:
+                yield rid, "", "", None, 0, None, None
+            for place, child, parent, at, _, obj in element_rows(value, arrays, entries):
+                fields = _maps(own_fields(obj, arrays, place, entries, kept)) if with_fields else (None, None)
+                yield rid, safe(place), safe(child), safe(parent), at[-1], *fields
 
     return over_rows(spread(records.select(F.col("record_id").cast("string"), "body")), NODE_SCHEMA, rows)
 
 
+def _maps(fields: dict[str, tuple[str, str | None]]) -> tuple[list, list]:
+    return [(k, v) for k, (_, v) in fields.items()], [(k, t) for k, (t, _) in fields.items()]
+
+
 def surrogate(record: Column, path: Column) -> Column:
     """The surrogate key of a row: stable over runs, so that tables written apart still join."""
     return F.xxhash64(record, path)
@@ -72,39 +85,33 @@ def surrogate(record: Column, path: Column) -> Column:
 def with_keys(nodes: DataFrame) -> DataFrame:
     return nodes.select(
         surrogate(F.col("record_id"), F.col("child")).alias("row_key"),
-        surrogate(F.col("record_id"), F.col("parent")).alias("parent_key"),
+        F.when(F.col("parent").isNotNull(), surrogate(F.col("record_id"), F.col("parent"))).alias("parent_key"),
         *nodes.columns,
     )
 
 
-def child_table(nodes: DataFrame, array_path: str, fields: Iterable[str]) -> DataFrame:
-    """One flat table of the given array path with a column for each field of the merged schema."""
-    keyed = with_keys(nodes.where(F.col("array_path") == array_path))
-    return keyed.select("row_key", "parent_key", "record_id", "ordinal", *[F.col("fields")[f].alias(f.replace(".", "_")) for f in fields])
-
-
-def field_schema(nodes: DataFrame) -> dict[str, list[str]]:
-    """The merged schema: the field names of every array path."""
-    pairs = nodes.select("array_path", F.explode(F.map_keys("fields")).alias("field")).distinct()
-    out: dict[str, list[str]] = {}
-    for r in sorted(collect_bounded(pairs, SCHEMA_PATHS_MOST, "fields of the merged schema")):
-        out.setdefault(r.array_path, []).append(r.field)
+def field_schema(nodes: DataFrame) -> dict[str, dict[str, str]]:
+    """The merged schema: place -> field -> SQL type. Fields of several types are strings, whole numbers among others double."""
+    pairs = nodes.select("place", F.explode("kinds").alias("field", "kind")).distinct()
+    seen: dict[tuple[str, str], set[str]] = {}
+    for r in collect_bounded(pairs, SCHEMA_PATHS_MOST, "fields of the merged schema"):
+        seen.setdefault((r.place, r.field), set()).add(r.kind)
+    out: dict[str, dict[str, str]] = {}
+    for (place, field), kinds in sorted(seen.items()):
+        types = {KINDS[k] for k in kinds - {"z"}}
+        out.setdefault(place, {})[field] = types.pop() if len(types) == 1 else "double" if types == {"bigint", "double"} else "string"
     return out
 
 
-def answer_entries(df: DataFrame, id_col: str, json_col: str, key: str = "answers") -> DataFrame:
-    """One row for each entry of the ``key`` map of every record: record_id, child, parent, fields."""
-
-    def rows(cols: dict[str, list]) -> Iterable[tuple]:
-        for rid, text in zip(cols["record_id"], cols["body"]):
-            value = read_json(text)
-            value = opened(value) if value is not MISSING else None
-            entries = opened(value.get(key)) if isinstance(value, dict) else None
-            if isinstance(entries, dict):
-                for name, answer in entries.items():
-                    answer = opened(answer)
-                    fields = own_fields(answer, frozenset(), "") if isinstance(answer, dict) else {}
-                    yield rid, safe(f"{key}.{name}"), "", list(fields.items())
-
-    records = df.select(F.col(id_col).cast("string").alias("record_id"), F.col(json_col).alias("body"))
-    return over_rows(spread(records), "record_id string, child string, parent string, fields map<string,string>", rows)
+def child_table(nodes: DataFrame, place: str, fields: dict[str, str]) -> DataFrame:
+    """The flat table of one place with a typed column for each field of the merged schema (whole numbers beyond 64 bits are null)."""
+    keyed = with_keys(nodes.where(F.col("place") == place))
+    taken = {"row_key", "parent_key", "record_id", "ordinal"}
+    columns = []
+    for field, kind in fields.items():
+        name = field.replace(".", "_")
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        columns.append((F.col("fields")[field] if kind == "string" else F.col("fields")[field].try_cast(kind)).alias(name))
+    return keyed.select("row_key", "parent_key", "record_id", "ordinal", *columns)
