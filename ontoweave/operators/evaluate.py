@@ -55,17 +55,33 @@ def span_scores(pred_entities: DataFrame, gold_entities: DataFrame, pred_links:
     """Exact spans per document: entities (start, end, type), links by both ends' spans and type; boundary_only, direction_swaps.
 
     boundary_only: predicted spans that are gold spans of another type only. direction_swaps: predicted links
-    that are no gold link but are one the other way round.
+    that are no gold link but are one the other way round. Both sides meet once, grouped by the span, or by the two
+    spans of a link whichever way it points; all counts follow from what meets there.
     """
-    e, r = ["doc_id", "start_char", "end_char", "type"], ["doc_id", "src_start", "src_end", "tgt_start", "tgt_end", "type"]
-    ents = counts(pred_entities, gold_entities, e, ["doc_id"]).select("doc_id", *[F.col(c).alias(f"entity_{c}") for c in ("tp", "fp", "fn")])
-    links = counts(pred_links, gold_links, r, ["doc_id"]).select("doc_id", *[F.col(c).alias(f"link_{c}") for c in ("tp", "fp", "fn")])
-    spans = pred_entities.select(*e).distinct().join(gold_entities.select(*e[:3]).distinct(), e[:3], "left_semi").join(gold_entities.select(*e).distinct(), e, "left_anti")
-    boundary = spans.groupBy("doc_id").agg(F.count(F.lit(1)).alias("boundary_only"))
-    turned = gold_links.select("doc_id", F.col("tgt_start").alias("src_start"), F.col("tgt_end").alias("src_end"), F.col("src_start").alias("tgt_start"), F.col("src_end").alias("tgt_end"), "type").distinct()
-    wrong = pred_links.select(*r).distinct().join(gold_links.select(*r).distinct(), r, "left_anti")
-    swaps = wrong.join(turned, r, "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("direction_swaps"))
-    return ents.join(links, "doc_id", "full_outer").join(boundary, "doc_id", "left").join(swaps, "doc_id", "left").na.fill(0)
+    by_type = lambda rows, mark: rows.select("doc_id", "start_char", "end_char", F.col("type"), F.lit(mark).alias("side"))
+    spans = by_type(pred_entities, "p").unionByName(by_type(gold_entities, "g")).groupBy("doc_id", "start_char", "end_char").agg(*_sides(F.col("type")))
+    tp, fp, fn = _met()
+    ents = spans.select("doc_id", tp.alias("entity_tp"), fp.alias("entity_fp"), fn.alias("entity_fn"), F.when(F.size("g") > 0, fp).otherwise(0).alias("boundary_only"), *[F.lit(0).alias(c) for c in ("link_tp", "link_fp", "link_fn", "direction_swaps")])
+
+    def links(rows: DataFrame, mark: str) -> DataFrame:
+        a, b = F.struct(F.col("src_start").alias("s"), F.col("src_end").alias("e")), F.struct(F.col("tgt_start").alias("s"), F.col("tgt_end").alias("e"))
+        return rows.select("doc_id", F.least(a, b).alias("one"), F.greatest(a, b).alias("two"), F.struct(F.col("type").alias("type"), (a > b).alias("turned")).alias("link"), F.lit(mark).alias("side"))
+
+    pairs = links(pred_links, "p").unionByName(links(gold_links, "g")).groupBy("doc_id", "one", "two").agg(*_sides(F.col("link")))
+    other = F.transform("g", lambda x: F.struct(x["type"].alias("type"), (~x["turned"] & (F.col("one") != F.col("two"))).alias("turned")))
+    swaps = F.size(F.array_intersect(F.array_except("p", "g"), other))
+    rels = pairs.select("doc_id", *[F.lit(0).alias(c) for c in ("entity_tp", "entity_fp", "entity_fn", "boundary_only")], tp.alias("link_tp"), fp.alias("link_fp"), fn.alias("link_fn"), swaps.alias("direction_swaps"))
+    columns = ("entity_tp", "entity_fp", "entity_fn", "link_tp", "link_fp", "link_fn", "boundary_only", "direction_swaps")
+    return ents.unionByName(rels).groupBy("doc_id").agg(*[F.sum(F.col(c).cast("long")).alias(c) for c in columns])
+
+
+def _sides(what: Column) -> list[Column]:
+    """The distinct values of each side, as p and g."""
+    return [F.collect_set(F.when(F.col("side") == side, what)).alias(side) for side in ("p", "g")]
+
+
+def _met() -> tuple[Column, Column, Column]:
+    return F.size(F.array_intersect("p", "g")), F.size(F.array_except("p", "g")), F.size(F.array_except("g", "p"))
 
 
 def has_spans(entities: Column) -> Column:

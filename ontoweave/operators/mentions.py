@@ -20,7 +20,6 @@ COLUMNS = ("document_id", "sentence_id", "text", "start_char", "end_char", "sour
 CONNECTORS = ("of", "de", "van", "von", "da", "del")
 # Capitalised words that begin sentences and are no part of a name.
 OPENERS = ("The", "A", "An", "This", "That", "These", "Those", "In", "On", "At", "For", "From", "By", "With", "When", "While", "After", "Before", "Because", "If", "It", "He", "She", "They", "We", "You", "I", "And", "But", "Or", "So", "As", "To", "Of", "No", "Not", "Our", "My", "Its", "His", "Her", "Their", "What", "Who", "Where", "Why", "How", "Each", "Every", "Some", "Two", "Then", "Now", "Here", "There")
-SCANNED_NAMES, BROADCAST_NAMES = 64, 200_000
 
 
 def _mention(local_start: Column, text: Column, source: str, skipped: Column | None = None) -> list[Column]:
@@ -64,61 +63,47 @@ def capital_runs(sentences: DataFrame) -> DataFrame:
     return hits.where(ok).select(*_mention(F.col("h.at") + cut, rest, "shape"))
 
 
-def listed_names(sentences: DataFrame, gazetteer: DataFrame, size: int | None = None) -> DataFrame:
+def listed_names(sentences: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Listed names in sentences: any case, bounded by no letter or digit, longest names first, no overlaps.
 
-    A few names (``SCANNED_NAMES``) are looked for in each sentence. More are joined on the folded text of all
-    word runs of a sentence that are as long as some name: up to ``BROADCAST_NAMES`` of them, a checked bound,
-    as a broadcast hash join that moves no sentence, beyond it as a shuffled equi-join. None of these grows
-    with names x sentences. ``size`` tells the number of names where it is known.
+    Names are found by an equi-join on the folded text of all word runs of a sentence that are as long as some name,
+    from the first to the last letter or digit; names without any are looked for among the sentence's runs of signs.
+    Only keys, places and the run itself go into the join, so it grows with the words of the text, not with names x
+    sentences, whether Spark broadcasts the names (their size decides) or shuffles both sides. Signs around a name
+    and its bounds are then compared in the sentence.
     """
-    names = gazetteer.select(F.col("name"), match_fold(F.col("name")).alias("needle"), F.col("ord").alias("name_ord")).where(F.col("needle") != "")
-    if size is None:
-        size = names.limit(BROADCAST_NAMES + 1).count()
-    rows = sentences.withColumn("hay", match_fold(F.col("text")))
-    if size <= SCANNED_NAMES:
-        hits = rows.join(F.broadcast(names), F.col("hay").contains(F.col("needle")))
-        at = F.transform(places_of(F.col("hay"), F.col("needle")), lambda i: i + 1)
-        hits = hits.select(*sentences.columns, "needle", "name_ord", F.explode(at).alias("at"))
-    else:
-        hits = _word_run_join(rows, names, sentences.columns, size <= BROADCAST_NAMES)
-    end = F.col("at") + F.length("needle")
-    left = (F.col("at") == 1) | ~F.col("text").substr(F.col("at") - 1, F.lit(1)).rlike(r"[\p{L}\p{N}]")
-    right = (end > F.length("text")) | ~F.col("text").substr(end, F.lit(1)).rlike(r"[\p{L}\p{N}]")
-    hits = hits.where(left & right)
-    span = F.struct((-F.length("needle")).cast("int").alias("rank"), F.col("name_ord").cast("long").alias("name_ord"), F.col("at").cast("int").alias("at"), end.cast("int").alias("upto"))
+    letter = r"[\p{L}\p{N}]"
     keys = ["document_id", "sentence_id"]
-    per = hits.groupBy(*keys).agg(F.array_sort(F.collect_list(span)).alias("spans"), *[F.any_value(c).alias(c) for c in sentences.columns if c not in keys])
+    names = gazetteer.select(match_fold(F.col("name")).alias("needle"), F.col("ord").cast("long").alias("name_ord")).where(F.col("needle") != "")
+    core = F.regexp_replace("needle", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    names = names.groupBy("needle").agg(F.min("name_ord").alias("name_ord")).withColumn("core", core)
+    worded = F.col("core") != ""
+    names = names.select(
+        "needle", "name_ord", F.when(worded, F.col("core")).otherwise(F.col("needle")).alias("run"), F.when(worded, F.length(F.regexp_extract("needle", r"^[^\p{L}\p{N}]*", 0))).otherwise(0).alias("lead"),
+        F.when(worded, F.regexp_count("needle", F.lit(rf"{letter}+"))).alias("n_words"), F.when(~worded, F.length("needle")).alias("n_signs"))
+    sizes = names.agg(F.array_sort(F.collect_set("n_words")).alias("n_words"), F.array_sort(F.collect_set("n_signs")).alias("n_signs"))  # one row
+    rows = sentences.select(*keys, match_fold(F.col("text")).alias("hay")).where(F.col("hay") != "").crossJoin(F.broadcast(sizes))
+    rows = rows.select(*keys, "hay", "n_words", "n_signs", F.explode(F.array(found_at(F.col("hay"), rf"{letter}+"))).alias("w"))
+    empty = F.expr("cast(array() as array<struct<begin:int,run:string>>)")
+    piece = lambda begin, upto: F.struct(begin.cast("int").alias("begin"), F.col("hay").substr(begin + 1, upto - begin).alias("run"))
+    last = lambda i, n: F.get("w", i + n - 1)
+    of_words = F.flatten(F.transform("w", lambda x, i: F.transform(F.filter("n_words", lambda n: i + n <= F.size("w")), lambda n: piece(x["at"], last(i, n)["at"] + F.length(last(i, n)["found"])))))
+    inside = lambda x, n: F.transform(F.sequence(F.lit(0), F.length(x["found"]) - n), lambda k: piece(x["at"] + k, x["at"] + k + n))
+    of_signs = F.flatten(F.transform(found_at(F.col("hay"), r"[^\p{L}\p{N}]+"), lambda x: F.flatten(F.transform(F.filter("n_signs", lambda n: n <= F.length(x["found"])), lambda n: inside(x, n)))))
+    runs = rows.select(*keys, F.explode(F.concat(of_words, F.when(F.size("n_signs") > 0, of_signs).otherwise(empty))).alias("r")).select(*keys, "r.begin", "r.run")
+    hits = runs.join(names.select("run", "needle", "name_ord", "lead"), "run")
+    at = (F.col("begin") + 1 - F.col("lead")).cast("int")
+    span = F.struct((-F.length("needle")).cast("int").alias("rank"), "name_ord", at.alias("at"), (at + F.length("needle")).cast("int").alias("upto"), "needle")
+    per = hits.groupBy(*keys).agg(F.array_sort(F.collect_list(span)).alias("spans")).join(sentences, keys)
+    text, folded = F.col("text"), match_fold(F.col("text"))
+    is_letter = lambda c: c.rlike(letter)
+    bounded = lambda s: ((s["at"] == 1) | ~is_letter(text.substr(s["at"] - 1, F.lit(1)))) & ((s["upto"] > F.length(text)) | ~is_letter(text.substr(s["upto"], F.lit(1))))
+    stands = lambda s: (s["at"] > 0) & (folded.substr(s["at"], F.length(s["needle"])) == s["needle"]) & bounded(s)
     kept = F.aggregate(
-        "spans", F.expr("cast(array() as array<struct<rank:int,name_ord:bigint,at:int,upto:int>>)"),
+        F.filter("spans", stands), F.expr("cast(array() as array<struct<rank:int,name_ord:bigint,at:int,upto:int,needle:string>>)"),
         lambda acc, s: F.when(F.exists(acc, lambda k: (s["at"] < k["upto"]) & (k["at"] < s["upto"])), acc).otherwise(F.concat(acc, F.array(s))))
     out = per.select(*sentences.columns, F.explode(kept).alias("s"))
-    return out.select(*_mention(F.col("s.at") - 1, F.col("text").substr(F.col("s.at"), F.col("s.upto") - F.col("s.at")), "gazetteer"))
-
-
-def _word_run_join(rows: DataFrame, names: DataFrame, columns: list[str], send: bool) -> DataFrame:
-    """Places of names in sentences by an equi-join on word runs.
-
-    A name is found by its text from its first to its last letter or digit, which is a run of as many words
-    as the name has; signs before and after are compared where the run is found. The word starts and ends of
-    a sentence are computed once, in a generator of their own.
-    """
-    letter = r"[\p{L}\p{N}]"
-    core = F.regexp_replace("needle", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    lead = F.length(F.regexp_extract("needle", r"^[^\p{L}\p{N}]*", 0))
-    cores = names.select("needle", "name_ord", core.alias("core"), lead.alias("lead"), F.regexp_count("needle", F.lit(rf"{letter}+")).alias("n_words"))
-    signs = cores.where(F.col("core") == "")  # names without any letter or digit: looked for one by one
-    sizes = cores.where(F.col("core") != "").agg(F.array_sort(F.collect_set("n_words")).alias("sizes"))  # one row
-    words = rows.select(*columns, "hay", F.explode(F.array(found_at(F.col("hay"), rf"{letter}+"))).alias("w")).crossJoin(F.broadcast(sizes))
-    starts = words.select(*columns, "hay", F.transform("w", lambda x: x["at"] + F.length(x["found"])).alias("ends"), "sizes", F.posexplode("w").alias("i", "x"))
-    upto = F.filter(F.transform("sizes", lambda n: F.get("ends", F.col("i") + n - 1)), lambda e: e.isNotNull())
-    runs = starts.select(*columns, "hay", F.col("x.at").alias("begin"), F.explode(upto).alias("upto"))
-    runs = runs.withColumn("core", F.col("hay").substr(F.col("begin") + 1, F.col("upto") - F.col("begin")))
-    worded = cores.where(F.col("core") != "")
-    found = runs.join(F.broadcast(worded) if send else worded, "core").withColumn("at", F.col("begin") + 1 - F.col("lead"))
-    found = found.where((F.col("at") > 0) & (F.col("hay").substr(F.col("at"), F.length("needle")) == F.col("needle")))
-    odd = rows.join(signs, F.col("hay").contains(F.col("needle"))).select(*columns, "needle", "name_ord", F.explode(F.transform(places_of(F.col("hay"), F.col("needle")), lambda i: i + 1)).alias("at"))
-    return found.select(*columns, "needle", "name_ord", "at").unionByName(odd)
+    return out.select(*_mention(F.col("s.at") - 1, text.substr(F.col("s.at"), F.col("s.upto") - F.col("s.at")), "gazetteer"))
 
 
 def encoder_spans(sentences: DataFrame, encode: Callable[[Iterator[pd.Series]], Iterator[list[list[tuple[int, int, float]]]]], threshold: float) -> DataFrame:

@@ -12,7 +12,8 @@ from functools import cached_property
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Limits and labels of the data model.
 MOST_OPTIONS, MOST_TYPES, MOST_EDGES = 26, 50, 100
@@ -21,6 +22,11 @@ NOT_ENTITY_TEXT = "Not a named entity of this ontology, or a pronoun, or noise."
 DEFAULT_COLOR, UNKNOWN_COLOR = "#64748b", "#94a3b8"
 
 
+def group_of(kind_no: Column, room: int = MOST_OPTIONS - 1) -> Column:
+    """The group of a kind when there are too many kinds for one question."""
+    return F.floor(kind_no / room).cast("int")
+
+
 class OntologyError(ValueError):
     """The ontology breaks one of its rules."""
 

@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CONTRACT = "2"
+GROUP = "GROUP_"
+FEWEST_OPTIONS, MOST_OPTIONS = 2, 26
+OPTIONS = "array<struct<label:string,description:string>>"
+ABOUT = "struct<sentence:string,mention:string,src_text:string,tgt_text:string,relation:string>"
+# a question and what it is about, which rules read instead of its text
+QUESTION = f"question_key string, kind string, state string, instructions string, options {OPTIONS}, about {ABOUT}"
 # How much goes into one request.
 QUESTIONS_PER_CALL, TOKENS_PER_CALL, OVERHEAD_TOKENS, BYTES_PER_TOKEN = 64, 2000, 80, 4
 PROBABILITY_SLACK = 0.05
@@ -37,9 +43,44 @@ def state_text(heading: Column, sentence: Column, mentions: Column) -> Column:
     return F.concat_ws("\n", F.concat(F.lit("Heading: "), head), F.concat(F.lit("Sentence: "), sentence), F.lit("Mentions:"), numbered)
 
 
-def options_json(options: Column) -> Column:
-    """Options (array<struct<label, description>>) as JSON in their own order, so that rotating them changes the key."""
-    return F.to_json(F.transform(options, lambda o: F.struct(o["label"].alias("label"), o["description"].alias("description"))))
+def group_question(sentence: Column, mention: Column) -> Column:
+    return F.concat(F.lit("In sentence ("), quoted(sentence), F.lit("): Which type in this group is mention ("), quoted(mention), F.lit(")? Pick NOT_ENTITY if none."))
+
+
+def options_of(pairs: list[tuple[str, str]]) -> Column:
+    """Options (``OPTIONS``) in the given order."""
+    return F.array(*[F.struct(F.lit(label).alias("label"), F.lit(text).alias("description")) for label, text in pairs]).cast(OPTIONS)
+
+
+def choice_options(options: Column) -> Column:
+    """The options of a choice question; fewer than two or more than 26 raise."""
+    fits = F.size(options).between(FEWEST_OPTIONS, MOST_OPTIONS)
+    return F.when(fits, options).otherwise(F.raise_error(F.format_string(f"a choice has {FEWEST_OPTIONS} to {MOST_OPTIONS} options, this one %d", F.size(options))).cast(OPTIONS))
+
+
+def noul_options(yes: str, no: str) -> Column:
+    """What yes and no mean, yes first."""
+    return options_of([("true", yes), ("false", no)])
+
+
+def score_options(levels: list[str]) -> Column:
+    """The levels of a score question, from 0 up."""
+    return choice_options(options_of([(str(i), text) for i, text in enumerate(levels)]))
+
+
+def reversed_options(options: Column) -> Column:
+    """The same options in reverse order, which makes another question with a key of its own."""
+    return F.reverse(options)
+
+
+def with_question(rows: DataFrame, model: str, kind: str, state: Column, instructions: Column, options: Column, about: dict[str, Column]) -> DataFrame:
+    """rows with the columns of ``QUESTION``."""
+    parts = [about.get(c, F.lit(None)).cast("string").alias(c) for c in ("sentence", "mention", "src_text", "tgt_text", "relation")]
+    asked = rows.withColumns({"kind": F.lit(kind), "state": state, "instructions": instructions, "options": options, "about": F.struct(*parts)})
+    return asked.withColumn("question_key", question_key(F.lit(model), F.col("state"), F.col("kind"), F.col("instructions"), F.col("options")))
+
+
+QUESTION_COLUMNS = ("question_key", "kind", "state", "instructions", "options", "about")
 
 
 def question_key(model: Column, state: Column, kind: Column, instructions: Column, options: Column) -> Column:
@@ -77,12 +118,6 @@ def pack(questions: DataFrame, keys: list[str], order: list[str], text: str, mos
     return sized.join(placed, [*keys, "at"]).drop("at")
 
 
-def halves(n: Column) -> Column:
-    """The two question ranges into which a call that the host finds too long is split."""
-    mid = F.floor(n / 2).cast("int")
-    return F.array(F.struct(F.lit(0).alias("start"), mid.alias("end")), F.struct(mid.alias("start"), n.cast("int").alias("end")))
-
-
 # answers
 
 
@@ -134,9 +169,21 @@ def option_letter(i: Column) -> Column:
     return F.char(F.lit(65) + i)
 
 
-def prompt_options(options: Column) -> Column:
-    """Lettered options, the label standing in for a missing description."""
-    return F.array_join(F.transform(options, lambda o, i: F.concat(option_letter(i), F.lit(". "), o["label"], F.lit(": "), F.coalesce(o["description"], o["label"]))), "\n")
+def prompt(kind: Column, state: Column, instructions: Column, options: Column) -> Column:
+    """A question as a prompt that is answered by one letter: options lettered in their order, the label standing in for a missing description."""
+    lettered = F.array_join(F.transform(options, lambda o, i: F.concat(option_letter(i), F.lit(". "), o["label"], F.lit(": "), F.coalesce(o["description"], o["label"]))), "\n")
+    ask = F.when(kind == "noul", "Answer with the letter of true or false.").when(kind == "score", "Answer with the letter of the level.").otherwise("Answer with the letter of one option.")
+    return F.concat_ws("\n\n", state, instructions, lettered, ask)
+
+
+def answer_from_logits(kind: Column, labels: Column, logits: Column) -> Column:
+    """An answer (``ANSWER``) from one logit for each option: the softmax, its winner and confidence; yes is the noul, levels weigh the score."""
+    p = softmax(logits)
+    shares = F.map_from_arrays(labels, p)
+    none = F.lit(None).cast("double")
+    return F.struct(
+        kind.alias("type"), F.when(kind == "choice", F.element_at(labels, winner(p) + 1)).alias("choice"), F.when(kind == "noul", F.try_element_at(shares, F.lit("true"))).otherwise(none).alias("noul"),
+        F.when(kind == "score", expected_level(p)).otherwise(none).alias("score"), F.when(kind != "noul", confidence(p)).otherwise(none).alias("confidence"), F.when(kind != "noul", shares).alias("probabilities"))
 
 
 def common_prefix_length(a: Column, b: Column) -> Column:

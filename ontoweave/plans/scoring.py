@@ -52,7 +52,7 @@ def compared_answers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kind_groups(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").groupBy(decide.group_of(F.col("p_size") - 1).alias("group_no")).agg(F.count(F.lit(1)).alias("n"), F.min("p_size").alias("least"), F.max("p_size").alias("most"))
+    return table(spark, d, "part").groupBy(ontology.group_of(F.col("p_size") - 1).alias("group_no")).agg(F.count(F.lit(1)).alias("n"), F.min("p_size").alias("least"), F.max("p_size").alias("most"))
 
 
 def _typed_lines(spark: SparkSession, d: str) -> DataFrame:

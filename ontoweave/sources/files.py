@@ -46,13 +46,33 @@ def pair_gold(gold: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return gold.join(notes, "document_id"), gold.join(notes.select("document_id"), "document_id", "left_anti")
 
 
+CONVERTED_DOCUMENT = (
+    "id string, text string, entities array<struct<index:int,name:string,type:string,start:int,end:int>>, "
+    "relations array<struct<type:string,source:string,target:string,head:int,tail:int>>"
+)
+
+
 def read_token_split(spark: SparkSession, path: str, split: str) -> DataFrame:
-    """Token documents of one split with ids like ``test_0007`` in file order."""
-    from pyspark.sql import Window
+    """Token documents of one split with ids like ``test_0007`` in file order.
+
+    A file is one array of documents; their places in it number them, so files are read side by side and no rows
+    are sorted. Ids count within a file.
+    """
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", f"array<struct<{_struct(TOKEN_DOCUMENT)}>>")).alias("no", "d"))
+    return rows.select(F.concat(F.lit(f"{split}_"), F.lpad(F.col("no").cast("string"), 4, "0")).alias("doc_id"), "d.*")
+
+
+def read_converted_split(spark: SparkSession, path: str) -> DataFrame:
+    """Documents that were converted before: their own ids, texts and character spans."""
+    rows = spark.read.schema(CONVERTED_DOCUMENT).option("multiLine", True).json(path)
+    return rows.withColumnRenamed("id", "doc_id")
+
+
+def _struct(ddl: str) -> str:
+    """The columns of a DDL as those of a struct."""
+    from pyspark.sql.types import _parse_datatype_string
 
-    rows = spark.read.schema(TOKEN_DOCUMENT).option("multiLine", True).json(path).withColumn("at", F.monotonically_increasing_id())
-    no = F.row_number().over(Window.orderBy("at")) - 1  # a split is one small file
-    return rows.withColumn("doc_id", F.concat(F.lit(f"{split}_"), F.lpad(no.cast("string"), 4, "0"))).drop("at")
+    return _parse_datatype_string(ddl).simpleString()[len("struct<") : -1]
 
 
 def read_result(spark: SparkSession, path: str) -> DataFrame:

@@ -45,8 +45,12 @@ def test_listed_names_equal_the_loop_both_ways(spark):
     texts = [" ".join(r.choice(["ab", "cd", "a", "AB", "b-a", "abc", "x.", "(cd", "--"]) for _ in range(r.randint(1, 9))) for _ in range(150)]
     want = sorted((f"s{i}", 100 * i + a, 100 * i + b, t[a:b]) for i, t in enumerate(texts) for a, b in find_listed(t, listed))
     assert spans(mentions.listed_names(sents(spark, *texts), names(spark, *listed))) == want
-    assert spans(mentions.listed_names(sents(spark, *texts), names(spark, *listed), size=mentions.SCANNED_NAMES + 1)) == want
-    assert spans(mentions.listed_names(sents(spark, *texts), names(spark, *listed), size=mentions.BROADCAST_NAMES + 1)) == want
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert spans(mentions.listed_names(sents(spark, *texts), names(spark, *listed))) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_listed_names_edges(spark):
@@ -113,3 +117,22 @@ def test_encoder_and_suggestions(spark):
     texts = sents(spark, "Odd start here.", "We saw Big Ben.", "Then Big Ben and Rome.", "Names of Acme.")
     found = {(r.name, r.n, r.rank) for r in mentions.suggest_names(texts, names(spark, "acme")).collect()}
     assert ("Big Ben", 2, 1) in found and ("Rome", 1, 3) in found and not any(n in ("Odd", "Acme", "Names") for n, _, _ in found)
+
+
+def test_names_with_signs_around_them(spark):
+    texts = ("a .NET app, C++ and c# or -> and ** here", "x->y --> z ***", "No.NET .net")
+    listed = (".NET", "C++", "->", "**", "C#")
+    want = set()
+    for i, text in enumerate(texts):
+        low, taken = text.lower(), []
+        for name in sorted(listed, key=lambda n: (-len(n), listed.index(n))):
+            at = low.find(name.lower())
+            while at >= 0:
+                end = at + len(name)
+                if not (at and text[at - 1].isalnum()) and not (end < len(text) and text[end].isalnum()) and not any(at < b and a < end for a, b in taken):
+                    taken.append((at, end))
+                at = low.find(name.lower(), at + 1)
+        want |= {(f"s{i}", text[a:b], a, b) for a, b in taken}
+    rows = spark.createDataFrame([("d", f"s{i}", t, 0, []) for i, t in enumerate(texts)], "document_id string, sentence_id string, text string, start_char int, heading_path array<string>")
+    table = spark.createDataFrame([(n, "T", i) for i, n in enumerate(listed)], "name string, type string, ord long")
+    assert {(r.sentence_id, r.text, r.start_char, r.end_char) for r in mentions.listed_names(rows, table).collect()} == want
