@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .operators import evaluate, export, ontology, parsing
 from .operators.decide import Gate
+from .plans import benchmark
 from .plans.pipeline import Extraction, extract
 from .session import get_session, ship
 from .sources import files
@@ -35,9 +36,9 @@ def parser() -> argparse.ArgumentParser:
 
     for name in ("extract", "report", "graph", "export-cypher"):
         command(name, "notes", ontology="trade", out="", gate="", title="Graph")
-    command("eval", "notes", "labels", ontology="trade", gate="")
+    command("eval", "notes", "labels", ontology="trade", gate="", groups="")
     command("calibrate", "notes", "labels", ontology="trade", out="", max_error="0.15")
-    command("eval-spans", "split", ontology="trade", prefix="test")
+    command("eval-spans", "split", ontology="trade", prefix="test", maps="", limit="")
     command("init-ontology", "path")
     command("validate-ontology", "ontology")
     command("probe", "notes")
@@ -53,19 +54,13 @@ def _extract(spark: SparkSession, args: argparse.Namespace) -> tuple[Extraction,
     return extract(files.read_notes(spark, args.notes), onto, gate=_gate(getattr(args, "gate", ""))), onto
 
 
-def _scored(spark: SparkSession, args: argparse.Namespace) -> tuple[Extraction, DataFrame, DataFrame, DataFrame]:
-    """The extraction, and per document the counts of entities and links against the labels."""
-    x, _ = _extract(spark, args)
-    gold, alone = files.pair_gold(files.read_gold(spark, args.labels), files.read_notes(spark, args.notes))
+def _labels(spark: SparkSession, args: argparse.Namespace) -> tuple[DataFrame, DataFrame]:
+    """(notes, labels that have one); labels without a note are named."""
+    notes = files.read_notes(spark, args.notes)
+    gold, alone = files.pair_gold(files.read_gold(spark, args.labels), notes)
     for row in alone.select("document_id").toLocalIterator():
         print(f"no note for the labels of {row.document_id}", file=sys.stderr)
-    key = lambda *c: evaluate.entity_key(*c) if len(c) == 2 else evaluate.relation_key(*c)
-    g = gold.select("document_id", F.explode("entities").alias("e")).select("document_id", key(F.col("e.name"), F.col("e.type")).alias("k"))
-    r = gold.select("document_id", F.explode("relations").alias("e")).select("document_id", key(F.col("e.source"), F.col("e.target"), F.col("e.type")).alias("k"))
-    pe = x.entities.select("document_id", F.concat_ws("|", "name", "entity_type").alias("k"))
-    pr = x.relationships.select("document_id", F.concat_ws("|", "source", "target", "relation_type").alias("k"))
-    counts = lambda p, q: evaluate.counts(p, q, ["document_id", "k"], ["document_id"])
-    return x, counts(pe, g), counts(pr, r), g
+    return notes, gold.select("document_id", "entities", "relations")
 
 
 def run(argv: list[str] | None = None) -> int:
@@ -86,7 +81,7 @@ def run(argv: list[str] | None = None) -> int:
         parsing.sentences(files.read_notes(spark, args.notes)).groupBy("document_id").agg(F.count(F.lit(1)).alias("sentences")).show(truncate=False)
     elif args.command == "extract":
         x, _ = _extract(spark, args)
-        rows = export.result_json(x.entities, x.relationships, x.items)
+        rows = export.result_json(x.entities, x.relationships, x.items, x.mentions, x.statistics())
         if args.out:
             rows.write.mode("overwrite").json(args.out)
         else:
@@ -95,29 +90,37 @@ def run(argv: list[str] | None = None) -> int:
     elif args.command == "export-cypher":
         x, _ = _extract(spark, args)
         files.write_statements(export.cypher(x.entities, x.relationships), args.out or "cypher")
-    elif args.command in ("graph", "report"):
+    elif args.command == "graph":
         x, onto = _extract(spark, args)
-        nodes, edges = export.cap_graph(*export.web_graph(x.entities, x.relationships, x.items, x.sentences, onto))
-        # one page shows at most the capped nodes of each document
-        page = export.graph_page(nodes.collect(), edges.collect(), args.title)
-        Path(args.out or f"{args.command}.html").write_text(page, encoding="utf-8")
+        export.write_pages(export.graph_pages(*export.cap_graph(*export.web_graph(x.entities, x.relationships, x.items, x.sentences, onto)), args.title), args.out or "graph")
+    elif args.command == "report":
+        x, onto = _extract(spark, args)
+        export.write_pages(export.report_pages(files.read_notes(spark, args.notes), x.typed, x.entities, x.relationships, x.items, onto, args.title), args.out or "report")
     elif args.command == "eval":
-        _, ents, links, _ = _scored(spark, args)
-        for name, rows in (("entities", ents), ("relations", links)):
-            print(name, json.dumps(evaluate.micro_average(rows).first().asDict()))
+        notes, gold = _labels(spark, args)
+        groups = {args.ontology: (ontology.load(args.ontology), None)}
+        for other, ids in (g.split("=", 1) for g in args.groups.split(";") if g):
+            groups[other] = (ontology.load(other), ids.split(","))
+        scores = benchmark.score_notes(notes, gold, groups, gate=_gate(args.gate))
+        for row in scores.summary.orderBy("what", "group").toLocalIterator():
+            print(json.dumps(row.asDict()))
+        print(json.dumps({"seconds": round(scores.seconds, 2)}))
     elif args.command == "calibrate":
-        x, _, _, gold = _scored(spark, args)
-        keys = gold.select("document_id", F.col("k").alias("gold")).distinct()
-        key = evaluate.entity_key(F.col("text"), F.col("entity_type"))
-        rows = x.typed.withColumn("k", key).join(keys, ["document_id"], "left").groupBy("document_id", "d_ord", "winner_prob").agg(F.max((F.col("k") == F.col("gold")).cast("int")).alias("ok"))
-        rows = rows.select(F.lit("all").alias("g"), F.col("winner_prob").alias("prob"), (F.coalesce("ok", F.lit(0)) == 1).alias("correct"), F.concat_ws(":", "document_id", "d_ord").alias("ord"))
+        notes, gold = _labels(spark, args)
+        x, _ = _extract(spark, args)
+        keys = gold.select("document_id", F.explode("entities").alias("e")).select("document_id", evaluate.entity_key(F.col("e.name"), F.col("e.type")).alias("k"), F.lit(True).alias("ok")).distinct()
+        rows = x.typed.withColumn("k", evaluate.entity_key(F.col("text"), F.col("entity_type"))).join(keys, ["document_id", "k"], "left")
+        rows = rows.select(F.lit("all").alias("g"), F.col("winner_prob").alias("prob"), F.coalesce("ok", F.lit(False)).alias("correct"), F.concat_ws(":", "document_id", "d_ord").alias("ord"))
         fit = evaluate.fit_gate(evaluate.curve(rows, ["g"]), ["g"], float(args.max_error)).first()
         gate = asdict(Gate(accept_prob=fit.accept_prob, reject_prob=fit.reject_prob, fitted=True)) if fit else asdict(Gate())
         Path(args.out or "gate.json").write_text(json.dumps(gate, indent=2))
     elif args.command == "eval-spans":
+        maps = json.loads(Path(args.maps).read_text()) if args.maps else {"types": {}, "relations": {}}
         docs = files.read_token_split(spark, args.split, args.prefix)
-        ents, rels = parsing.convert_spans(docs, {}, {})
-        print(json.dumps({"documents": docs.count(), "entities": ents.count(), "relations": rels.count()}))
+        scores = benchmark.run_split(docs, ontology.load(args.ontology), maps["types"], maps["relations"], capitals=True, limit=int(args.limit) if args.limit else None)
+        for row in scores.summary.toLocalIterator():
+            print(json.dumps(row.asDict()))
+        print(json.dumps({"seconds": round(scores.seconds, 2)}))
     return 0
 
 

@@ -29,7 +29,7 @@ Decider = Callable[[DataFrame], DataFrame]
 Post = Callable[[dict], dict]
 
 
-def _choice(label: Column, p: Column, options: Column, sure: Column) -> Column:
+def choice_answer(label: Column, p: Column, options: Column, sure: Column) -> Column:
     """A choice answer: the label has p, the other options share the rest."""
     rest = (1 - p) / F.greatest(F.size(options) - 1, F.lit(1))
     shares = F.map_from_entries(F.transform(options, lambda o: F.struct(o["label"].alias("key"), F.when(o["label"] == label, p).otherwise(rest).alias("value"))))
@@ -37,12 +37,12 @@ def _choice(label: Column, p: Column, options: Column, sure: Column) -> Column:
     return F.struct(F.lit("choice").alias("type"), label.alias("choice"), none.alias("noul"), none.alias("score"), sure.alias("confidence"), shares.alias("probabilities")).cast(Q.ANSWER)
 
 
-def _noul(p: Column) -> Column:
+def noul_answer(p: Column) -> Column:
     none = F.lit(None)
     return F.struct(F.lit("noul").alias("type"), none.cast("string").alias("choice"), p.cast("double").alias("noul"), none.cast("double").alias("score"), none.cast("double").alias("confidence"), none.cast("map<string,double>").alias("probabilities"))
 
 
-def _free(answers: DataFrame) -> DataFrame:
+def free(answers: DataFrame) -> DataFrame:
     return answers.select("question_key", "answer", F.lit(0).cast("long").alias("input_tokens"), F.lit(0).cast("long").alias("output_tokens"))
 
 
@@ -61,11 +61,11 @@ def rule_decider(ontology: Ontology) -> Decider:
         links = questions.where(F.col("about.relation").isNotNull()).select("question_key", "about.sentence", "about.src_text", "about.tgt_text", "about.relation")
         names = questions.where(F.col("about.relation").isNull() & (F.col("kind") == "noul"))
         kinds = questions.where(F.col("about.relation").isNull() & (F.col("kind") == "choice")).select("question_key", "options", "about.sentence", F.col("about.mention").alias("text"), F.lit(None).cast("string").alias("listed_type"))
-        a = decide.rule_links(links, ontology).select("question_key", _noul(F.col("prob")).alias("answer"))
-        b = names.select("question_key", _noul(decide.rule_name(F.col("about.mention"), F.col("about.sentence"), F.lit(False))).alias("answer"))
+        a = decide.rule_links(links, ontology).select("question_key", noul_answer(F.col("prob")).alias("answer"))
+        b = names.select("question_key", noul_answer(decide.rule_name(F.col("about.mention"), F.col("about.sentence"), F.lit(False))).alias("answer"))
         c = decide.rule_kinds(kinds, ontology).withColumn("label", _listed_label(F.col("choice"), F.col("options")))
-        c = c.select("question_key", _choice(F.col("label"), F.col("winner_prob"), F.col("options"), F.col("confidence")).alias("answer"))
-        return _free(a.unionByName(b).unionByName(c))
+        c = c.select("question_key", choice_answer(F.col("label"), F.col("winner_prob"), F.col("options"), F.col("confidence")).alias("answer"))
+        return free(a.unionByName(b).unionByName(c))
 
     return answer
 
@@ -80,13 +80,13 @@ def listed_decider(gazetteer: DataFrame) -> Decider:
     def answer(questions: DataFrame) -> DataFrame:
         sentence = F.col("about.sentence")
         noul = F.when(sentence.rlike(decide.NEGATION) | sentence.rlike(decide.HEDGE), no).otherwise(yes)
-        nouls = questions.where(F.col("kind") == "noul").select("question_key", _noul(noul).alias("answer"))
+        nouls = questions.where(F.col("kind") == "noul").select("question_key", noul_answer(noul).alias("answer"))
         listed = gazetteer.groupBy(F.col("name").alias("listed_name")).agg(F.min("type").alias("listed_type"))
         rows = questions.where(F.col("kind") == "choice").join(listed, F.col("about.mention") == F.col("listed_name"), "left")
         known = F.col("listed_type").isNotNull()
         label = _listed_label(F.col("listed_type"), F.col("options"))
         p = F.when(known, F.lit(mass)).otherwise(unknown)
-        return _free(nouls.unionByName(rows.select("question_key", _choice(label, p, F.col("options"), p).alias("answer"))))
+        return free(nouls.unionByName(rows.select("question_key", choice_answer(label, p, F.col("options"), p).alias("answer"))))
 
     return answer
 
@@ -96,7 +96,7 @@ def table_decider(answers: DataFrame) -> Decider:
 
     def answer(questions: DataFrame) -> DataFrame:
         latest = answers.groupBy("question_key").agg(F.max_by("answer", F.struct("created_at", F.to_json("answer"))).alias("answer"))
-        return _free(questions.select("question_key").distinct().join(latest, "question_key"))
+        return free(questions.select("question_key").distinct().join(latest, "question_key"))
 
     return answer
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import html
-import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,22 +111,107 @@ def dashboard(entities: DataFrame, relationships: DataFrame, items: DataFrame) -
     return out.na.fill(0)
 
 
-def result_json(entities: DataFrame, relationships: DataFrame, items: DataFrame) -> DataFrame:
-    """(document_id, result_json): entities, relationships and review of each document as one JSON text."""
+def result_json(entities: DataFrame, relationships: DataFrame, items: DataFrame, mentions: DataFrame | None = None, metadata: DataFrame | None = None) -> DataFrame:
+    """(document_id, result_json): entities, relationships, review and rejected items, mentions and metadata of each document as one JSON text.
+
+    ``metadata`` has document_id and further columns. Entities stand by name, relationships in the order of their hits.
+    """
     per = lambda rows, name, *cols: rows.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
-    e = per(entities, "entities", "name", "entity_type", "display_name", "importance", "source_spans")
-    r = per(relationships, "relationships", "source", "target", "relation_type", "weight", "description")
-    v = per(items.where(F.col("queue") == "review"), "review", "kind", "text", "source", "target", "type", "prob", "sentence_id")
-    both = e.join(r, "document_id", "full_outer").join(v, "document_id", "full_outer")
-    return both.select("document_id", F.to_json(F.struct("entities", "relationships", "review")).alias("result_json"))
-
-
-def graph_page(nodes: list, edges: list, title: str) -> str:
-    """A self-contained page of one (capped) graph; script ends in texts cannot leave the data block."""
-    data = json.dumps({"nodes": [n.asDict() for n in nodes], "edges": [e.asDict() for e in edges]}, ensure_ascii=False, default=str).replace("</", "<\\/")
-    rows = "".join(f"<tr><td>{html.escape(str(e['source']))}</td><td>{html.escape(str(e['relation'] if 'relation' in e else e['type']))}</td><td>{html.escape(str(e['target']))}</td></tr>" for e in edges)
-    legend = "".join(f'<li style="color:{html.escape(c)}">{html.escape(t)}</li>' for t, c in sorted({(str(n["type"]), str(n["color"])) for n in nodes}))
-    return (
-        f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>"
-        f"<p>{len(nodes)} names, {len(edges)} links</p><ul>{legend}</ul><table>{rows}</table><script type=application/json id=graph>{data}</script>"
-    )
+    item = ("span_start", "kind", "reason", "text", "source", "target", "type", "asked", "band", "prob", "sentence_id")
+    parts = [
+        per(entities, "entities", "name", "entity_type", "display_name", "importance", "source_spans"), per(relationships, "relationships", *(["h_ord"] if "h_ord" in relationships.columns else []), "source", "target", "relation_type", "weight", "description"),
+        per(items.where(F.col("queue") == "review"), "review", *item), per(items.where(F.col("queue") == "rejected"), "rejected", *item)]
+    if mentions is not None:
+        parts.append(per(mentions, "mentions", "start_char", "end_char", "text", "source", "skipped_reason", "sentence_id"))
+    if metadata is not None:
+        parts.append(metadata.select("document_id", F.struct(*[c for c in metadata.columns if c != "document_id"]).alias("metadata")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, "document_id", "full_outer")
+    names = [c for c in out.columns if c != "document_id"]
+    filled = [F.coalesce(c, F.array().cast(out.schema[c].dataType)).alias(c) if c != "metadata" else F.col(c) for c in names]
+    return out.select("document_id", F.to_json(F.struct(*filled)).alias("result_json"))
+
+
+EXPORTED = ("entities", "relationships", "review", "metadata")
+
+
+def exportable(results: DataFrame) -> DataFrame:
+    """(document_id, result_json) with what may leave the page: entities, relationships, review and metadata."""
+    parsed = F.parse_json("result_json")
+    part = lambda c: F.to_json(F.try_variant_get(parsed, f"$.{c}", "variant"))
+    fields = [F.when(part(c).isNotNull(), F.concat(F.lit(f'"{c}":'), part(c))) for c in EXPORTED]
+    return results.select("document_id", F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")).alias("result_json"))
+
+
+# pages
+
+
+def _table(rows: DataFrame, name: str, head: list[str], cells: list[Column], order: list) -> DataFrame:
+    """(document_id, name): the rows of each document as an HTML table, the first ``LINK_ROWS`` and how many more there are."""
+    row = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), html_escaped(F.coalesce(c.cast("string"), F.lit(""))), F.lit("</td>")) for c in cells], F.lit("</tr>"))
+    kept = listing(rows.withColumn("_row", row), order, LINK_ROWS)
+    per = kept.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("place", "_row"))).alias("r"), F.max("more").alias("more"))
+    top = "".join(f"<th>{html.escape(h)}</th>" for h in head)
+    more = F.when(F.col("more") > 0, F.format_string("<p>and %d more</p>", F.col("more"))).otherwise("")
+    return per.select("document_id", F.concat(F.lit(f"<table><tr>{top}</tr>"), F.array_join(F.transform("r", lambda x: x["_row"]), ""), F.lit("</table>"), more).alias(name))
+
+
+def report_pages(docs: DataFrame, typed: DataFrame, entities: DataFrame, relationships: DataFrame, items: DataFrame, ontology: Ontology, title: str = "Report") -> DataFrame:
+    """(document_id, page): a self-contained page for each document with its counts, a legend, the highlighted text and tables of names, links and what waits for review.
+
+    Every page is made where its rows are; nothing is gathered.
+    """
+    kinds = F.broadcast(ontology.kind_table(docs.sparkSession).select(F.col("id").alias("entity_type"), F.col("color").alias("listed_color")))
+    shown = typed.where((F.col("band") == "ACCEPT") & (F.col("entity_type") != NOT_ENTITY)).join(kinds, "entity_type", "left")
+    span = F.struct(F.col("start_char").alias("start"), F.col("end_char").alias("end"), F.col("entity_type").alias("title"), F.coalesce("listed_color", F.lit(UNKNOWN_COLOR)).alias("color"))
+    spans = shown.groupBy("document_id").agg(F.collect_list(span).alias("spans"))
+    phrase = link_phrase(F.col("source"), F.col("relation_type"), F.col("target"))
+    review = items.where(F.col("queue") == "review")
+    ask = review_phrase(F.col("kind"), F.col("text"), F.col("type"), F.col("source"), F.col("target"), F.col("prob"))
+    parts = [
+        spans, dashboard(entities, relationships, items),
+        _table(entities, "names", ["name", "kind", "written", "importance"], [F.col("display_name"), pretty_type(F.col("entity_type")), F.col("source_spans"), F.round("importance", 3)], ["name"]),
+        _table(relationships, "links", ["link", "sentence", "weight"], [phrase, F.col("description"), F.round("weight", 3)], ["h_ord"]),
+        _table(review, "waiting", ["question", "sentence"], [ask, F.col("sentence_id")], ["sentence_id", "kind", "span_start", "asked"])]
+    rows = docs.select("document_id", F.coalesce("text", F.lit("")).alias("text"))
+    for part in parts:
+        rows = rows.join(part, "document_id", "left")
+    legend = "".join(f'<li><mark style="background:{html.escape(k.color)}">{html.escape(k.id.lower().replace("_", " "))}</mark></li>' for k in ontology.kinds)
+    stats = F.format_string("%d names, %d links, %d to review, %d names and %d links dropped", *[F.coalesce(c, F.lit(0)) for c in ("names_kept", "links_kept", "in_review", "names_dropped", "links_dropped")])
+    text = highlight(F.col("text"), F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,end:int,title:string,color:string>>)")))
+    section = lambda head, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"<h2>{head}</h2>"), F.col(c))).otherwise("")
+    page = F.concat(
+        F.lit(f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}: "), html_escaped(F.col("document_id")), F.lit("</h1><p>"), stats, F.lit(f"</p><ul>{legend}</ul><pre style='white-space:pre-wrap'>"), text,
+        F.lit("</pre>"), section("Names", "names"), section("Links", "links"), section("To review", "waiting"))
+    return rows.select("document_id", page.alias("page"))
+
+
+def graph_pages(nodes: DataFrame, edges: DataFrame, title: str = "Graph") -> DataFrame:
+    """(document_id, page): a self-contained page of each (capped) graph; script ends in texts cannot leave the data block."""
+    n = nodes.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("place", "id", "label", "type", "color", "pending"))).alias("nodes"))
+    e = edges.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("source", "target", "relation", "weight", "evidence", "pending"))).alias("edges"))
+    rows = n.join(e, "document_id", "left").withColumn("edges", F.coalesce("edges", F.array().cast(e.schema["edges"].dataType)))
+    data = F.replace(F.to_json(F.struct("nodes", "edges")), F.lit("</"), F.lit("<\\/"))
+    table = F.array_join(F.transform("edges", lambda x: F.concat(F.lit("<tr><td>"), html_escaped(x["source"]), F.lit("</td><td>"), html_escaped(x["relation"]), F.lit("</td><td>"), html_escaped(x["target"]), F.lit("</td></tr>"))), "")
+    legend = F.array_join(F.transform(F.array_sort(F.array_distinct(F.transform("nodes", lambda x: F.struct(x["type"].alias("t"), x["color"].alias("c"))))), lambda x: F.concat(F.lit('<li style="color:'), html_escaped(x["c"]), F.lit('">'), html_escaped(x["t"]), F.lit("</li>"))), "")
+    page = F.concat(
+        F.lit(f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><p>"), F.format_string("%d names, %d links", F.size("nodes"), F.size("edges")), F.lit("</p><ul>"), legend,
+        F.lit("</ul><table>"), table, F.lit("</table><script type=application/json id=graph>"), data, F.lit("</script>"))
+    return rows.select("document_id", page.alias("page"))
+
+
+def write_pages(pages: DataFrame, folder: str) -> None:
+    """One file for each document, written by the tasks that have it into a folder that all of them share."""
+
+    def write(rows) -> None:
+        import os
+        import re
+
+        os.makedirs(folder, exist_ok=True)
+        for r in rows:
+            name = re.sub(r"[^\w.-]", "_", r.document_id) or "_"
+            with open(os.path.join(folder, f"{name}.html"), "w", encoding="utf-8") as f:
+                f.write(r.page)
+
+    pages.foreachPartition(write)

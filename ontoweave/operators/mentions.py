@@ -18,8 +18,13 @@ from ..functions.text import PRONOUNS, found_at, is_pronoun, match_fold, places_
 COLUMNS = ("document_id", "sentence_id", "text", "start_char", "end_char", "source", "skipped_reason", "heading_path")
 # Words that join two capitalised words to one name.
 CONNECTORS = ("of", "de", "van", "von", "da", "del")
-# Capitalised words that begin sentences and are no part of a name.
-OPENERS = ("The", "A", "An", "This", "That", "These", "Those", "In", "On", "At", "For", "From", "By", "With", "When", "While", "After", "Before", "Because", "If", "It", "He", "She", "They", "We", "You", "I", "And", "But", "Or", "So", "As", "To", "Of", "No", "Not", "Our", "My", "Its", "His", "Her", "Their", "What", "Who", "Where", "Why", "How", "Each", "Every", "Some", "Two", "Then", "Now", "Here", "There")
+# Words that are capitalised only where they open a sentence, or are never names.
+OPENERS = (
+    "a an the this that these those it its they them their he she his her we our you your i in on at of for to from by with and or but if as is are was were be been being after before when while then there here also "
+    "however though although because since until not no yes all any some each every both many most other another such what which who whom one two three first second third new old more less last next today yesterday "
+    "tomorrow january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday figure table section abstract introduction conclusion "
+    "furthermore moreover finally specifically additionally overall instead thus therefore during"
+).split()
 
 
 def _mention(local_start: Column, text: Column, source: str, skipped: Column | None = None) -> list[Column]:
@@ -50,17 +55,30 @@ def pronouns(sentences: DataFrame) -> DataFrame:
     return hits.select(*_mention(F.col("h.at"), F.col("h.found"), "shape", F.lit("pronoun")))
 
 
-def capital_runs(sentences: DataFrame) -> DataFrame:
-    """Runs of capitalised words, joined by blanks or one connector, without openers and possessives."""
+def capital_runs(sentences: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """Runs of capitalised words, joined by blanks or one connector, without opening words and possessives.
+
+    Runs that overlap a mention of ``taken`` (the listed names) are none.
+    """
     word = r"\p{Lu}[\p{L}\p{N}&.\-]*[\p{L}\p{N}]|\p{Lu}"
     join = rf"(?: (?:{'|'.join(CONNECTORS)}))? "
     pattern = rf"(?<![\p{{L}}\p{{N}}_])(?:{word})(?:{join}(?:{word}))*(?![\p{{L}}\p{{N}}_])"
-    opener = rf"^(?:(?:{'|'.join(OPENERS)}) )+"
+    opener = rf"^(?i:(?:{'|'.join(OPENERS)}) )+"
     hits = sentences.select(*sentences.columns, F.explode(found_at(F.col("text"), pattern)).alias("h"))
     cut = F.length(F.col("h.found")) - F.length(F.regexp_replace("h.found", opener, ""))
     rest = F.regexp_replace(F.regexp_replace("h.found", opener, ""), r"['’]s$", "")
-    ok = (F.length(rest) >= 2) & ~rest.isin(*OPENERS)
-    return hits.where(ok).select(*_mention(F.col("h.at") + cut, rest, "shape"))
+    ok = (F.length(rest) >= 2) & ~F.lower(rest).isin(*OPENERS)
+    runs = hits.where(ok).select(*_mention(F.col("h.at") + cut, rest, "shape"))
+    return runs if taken is None else clear_of(runs, taken)
+
+
+def clear_of(mentions: DataFrame, taken: DataFrame) -> DataFrame:
+    """Mentions that overlap none of ``taken`` in their sentence."""
+    keys = ["document_id", "sentence_id"]
+    spans = taken.groupBy(*keys).agg(F.collect_list(F.struct("start_char", "end_char")).alias("_taken"))
+    rows = mentions.join(spans, keys, "left")
+    hit = F.exists("_taken", lambda t: (t["start_char"] < F.col("end_char")) & (F.col("start_char") < t["end_char"]))
+    return rows.where(~F.coalesce(hit, F.lit(False))).select(*mentions.columns)
 
 
 def listed_names(sentences: DataFrame, gazetteer: DataFrame) -> DataFrame:
@@ -149,9 +167,10 @@ def merge(mentions: DataFrame, keys: tuple[str, ...] = ("document_id", "sentence
 
 def propose(sentences: DataFrame, gazetteer: DataFrame, capitals: bool = False, more: Iterable[DataFrame] = ()) -> DataFrame:
     """All proposers together, merged: listed names, markup cues and pronouns; optionally capitalised runs and others."""
-    found = listed_names(sentences, gazetteer).unionByName(markdown_cues(sentences)).unionByName(pronouns(sentences))
+    listed = listed_names(sentences, gazetteer)
+    found = listed.unionByName(markdown_cues(sentences)).unionByName(pronouns(sentences))
     if capitals:
-        found = found.unionByName(capital_runs(sentences))
+        found = found.unionByName(capital_runs(sentences, listed))
     for frame in more:
         found = found.unionByName(frame)
     return merge(found)
@@ -162,7 +181,7 @@ def suggest_names(sentences: DataFrame, gazetteer: DataFrame, most: int = 14) ->
 
     A single word seen only once, as a sentence's first, is no suggestion. ``most`` is the feature: a top list.
     """
-    runs = capital_runs(sentences)
+    runs = capital_runs(sentences, listed_names(sentences, gazetteer))
     listed = gazetteer.select(F.lower("name").alias("listed")).distinct()
     opens = sentences.select("document_id", "sentence_id", F.col("start_char").alias("opens_at"))
     rows = runs.join(opens, ["document_id", "sentence_id"]).join(listed, F.lower("text") == F.col("listed"), "left_anti")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ABBREVIATIONS, WS, lead, strip
 from ..session import over_rows, spread
+from .ontology import Ontology
 
 FRONT_MATTER = r"(?s)\A---\r?\n.*?\r?\n---\r?\n"
 HEADING = r"^(#{1,6})\s+(.*)$"
@@ -193,22 +194,35 @@ def token_rows(df: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
     return rows.select(id_col, "token_no", "token", start.alias("start_char"), (start + F.length("token")).alias("end_char"))
 
 
-def convert_spans(docs: DataFrame, types: dict[str, str], relations: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+def convert_spans(docs: DataFrame, types: dict[str, str], relations: dict[str, str], ontology: Ontology | None = None) -> tuple[DataFrame, DataFrame]:
     """Token-span documents (doc_id, tokens, entities, relations) to character spans.
 
     Returns entities (doc_id, index, name, type, start_char, end_char, token_start, token_end) and
-    relations (doc_id, rel_no, type, source, target, with both ends' offsets). Labels without a mapping
-    keep their own; a relation whose ends are not among the entities raises.
+    relations (doc_id, rel_no, type, source, target, with both ends' offsets). A span outside the tokens or empty, and
+    a relation whose ends are not among the entities, raise. With an ontology so do labels that it does not know, once
+    mapped, and links between kinds that it does not allow; without one, labels without a mapping keep their own.
     """
-    label = lambda c, m: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in m.items() for x in p]), c), c) if m else c
+    kinds, links = [k.id for k in ontology.kinds] if ontology else [], [x.id for x in ontology.links] if ontology else []
+
+    def label(c: Column, mapping: dict[str, str], known: list[str], what: str) -> Column:
+        out = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in mapping.items() for x in p]), c), c) if mapping else c
+        return F.when(out.isin(*known), out).otherwise(F.raise_error(F.concat(F.lit(f"unknown {what} "), F.coalesce(c, F.lit("null")))).cast("string")) if known else out
+
     spanned = docs.select("doc_id", "tokens", token_spans(F.col("tokens")).alias("spans"), "entities", "relations")
     ents = spanned.select("doc_id", "tokens", "spans", F.posexplode("entities").alias("index", "e"))
-    first, last = F.element_at("spans", F.col("e.start") + 1), F.element_at("spans", F.col("e.end"))
+    a, b = F.col("e.start"), F.col("e.end")
+    fits = (a >= 0) & (a < b) & (b <= F.size("tokens"))
+    where = F.format_string("bad token span %s to %s in %s", a.cast("string"), b.cast("string"), F.col("doc_id").cast("string"))
+    start = F.when(F.coalesce(fits, F.lit(False)), F.try_element_at("spans", a + 1)["start"]).otherwise(F.raise_error(where).cast("int"))
     ents = ents.select(
-        "doc_id", "index", F.array_join(F.slice("tokens", F.col("e.start") + 1, F.col("e.end") - F.col("e.start")), " ").alias("name"), label(F.col("e.type"), types).alias("type"),
-        first["start"].alias("start_char"), last["end"].alias("end_char"), F.col("e.start").alias("token_start"), F.col("e.end").alias("token_end"))
-    rels = spanned.select("doc_id", F.posexplode("relations").alias("rel_no", "r")).select("doc_id", "rel_no", label(F.col("r.type"), relations).alias("type"), F.col("r.head").alias("head"), F.col("r.tail").alias("tail"))
+        "doc_id", "index", F.array_join(F.slice("tokens", F.greatest(a, F.lit(0)) + 1, F.greatest(b - a, F.lit(0))), " ").alias("name"), label(F.col("e.type"), types, kinds, "kind").alias("type"),
+        start.alias("start_char"), F.try_element_at("spans", F.greatest(b, F.lit(1)))["end"].alias("end_char"), a.alias("token_start"), b.alias("token_end"))
+    rels = spanned.select("doc_id", F.posexplode("relations").alias("rel_no", "r")).select("doc_id", "rel_no", label(F.col("r.type"), relations, links, "link").alias("type"), F.col("r.head").alias("head"), F.col("r.tail").alias("tail"))
     side = lambda name: ents.select("doc_id", F.col("index").alias(name), F.col("name").alias(f"{name}_name"), F.col("type").alias(f"{name}_type"), F.col("start_char").alias(f"{name}_start"), F.col("end_char").alias(f"{name}_end"))
     joined = rels.join(side("head"), ["doc_id", "head"], "left").join(side("tail"), ["doc_id", "tail"], "left")
-    checked = F.when(F.col("head_name").isNull() | F.col("tail_name").isNull(), F.raise_error(F.lit("relation points at no entity"))).otherwise(F.col("head_name"))
-    return ents, joined.select("doc_id", "rel_no", "type", checked.alias("source"), F.col("tail_name").alias("target"), "head_start", "head_end", "tail_start", "tail_end", "head_type", "tail_type")
+    source = F.when(F.col("head_name").isNull() | F.col("tail_name").isNull(), F.raise_error(F.lit("relation points at no entity"))).otherwise(F.col("head_name"))
+    if ontology:
+        legal = F.array(*[F.lit(f"{s}|{r}|{t}") for s, t, r, _ in ontology.signatures])
+        asked = F.concat_ws("|", "head_type", "type", "tail_type")
+        source = F.when(F.array_contains(legal, asked), source).otherwise(F.raise_error(F.concat(F.lit("no legal link: "), asked)).cast("string"))
+    return ents, joined.select("doc_id", "rel_no", "type", source.alias("source"), F.col("tail_name").alias("target"), "head_start", "head_end", "tail_start", "tail_end", "head_type", "tail_type")

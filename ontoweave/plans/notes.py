@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_name, link_phrase, review_phrase
-from ..operators import assemble, decide, export, mentions, ontology, parsing
-from ..session import table
+from ..operators import assemble, decide, deciders, export, mentions, ontology, parsing
+from ..session import cut_lineage, table
 from ..streaming import sections
 from .pipeline import Extraction, extract
 
@@ -170,6 +170,42 @@ def note_typing(spark: SparkSession, d: str) -> DataFrame:
     return extraction(spark, d).typed.groupBy("entity_type", "band", "decided_by").agg(F.count(F.lit(1)).alias("n"))
 
 
+def asked_typing(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers that are not listed, typed by asking: a table answers by their balance, unsure of every other one."""
+    onto = ontology.load("trade")
+    listed = gazetteer(spark, d).where(F.col("type") != "SUPPLIER")
+    sents = cut_lineage(parsing.sentences(notes(spark, d)))
+    known = table(spark, d, "supplier").select(F.col("s_name").alias("_name"), "s_acctbal", (F.col("s_suppkey") % 2 == 1).alias("unsure"))
+
+    def decider(questions: DataFrame) -> DataFrame:
+        rows = questions.join(known, F.col("about.mention") == F.col("_name"))
+        p = F.when(F.col("s_acctbal") >= 5000, 0.9).when(F.col("s_acctbal") < 0, 0.1).otherwise(0.5)
+        first = F.element_at("options", 1)["label"] == "SUPPLIER"
+        label = F.when(first | ~F.col("unsure"), "SUPPLIER").otherwise("NATION")
+        sure = F.when(F.col("unsure"), 0.2).otherwise(0.9)
+        answer = F.when(F.col("kind") == "noul", deciders.noul_answer(p)).otherwise(deciders.choice_answer(label, F.lit(0.8), F.col("options"), sure))
+        return deciders.free(rows.select("question_key", answer.alias("answer")))
+
+    found = mentions.propose(sents, listed)
+    typed = decide.type_mentions(found, sents, listed, onto, decide.Gate(rotate_below_confidence=0.5), decider, "table")
+    return typed.where(F.col("decided_by") == "model").select("document_id", "text", "entity_type", "band", F.round("winner_prob", 6).alias("winner_prob"), "flipped")
+
+
+def run_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Capitalised runs in templated sentences, without opening words and listed names."""
+    n = table(spark, d, "nation")
+    text = F.concat(F.lit("On Monday the Bank of "), F.initcap(F.lower(F.replace("n_name", F.lit("_"), F.lit("")))), F.lit(" met Orlo Vane's team in Port Imre."))
+    rows = n.select(F.col("n_nationkey").cast("string").alias("document_id"), F.concat(F.col("n_nationkey").cast("string"), F.lit("-s0")).alias("sentence_id"), text.alias("text"), F.lit(0).alias("start_char"), F.expr("cast(array() as array<string>)").alias("heading_path"))
+    listed = spark.createDataFrame([("Port Imre", "TOWN", 0)], "name string, type string, ord long")
+    return mentions.capital_runs(rows, mentions.listed_names(rows, listed)).select("document_id", "text", "start_char", "end_char")
+
+
+def piece_cover(spark: SparkSession, d: str) -> DataFrame:
+    """What the bounded pieces of every document cover, and whether they are within the bound and follow each other."""
+    rows = parsing.bounded_pieces(table(spark, d, "documents"), "doc_id", "text", 500).groupBy("doc_id")
+    return rows.agg(F.sum(F.col("end_char") - F.col("start_char")).alias("covered"), F.max("end_char").alias("last"), (F.max(F.length("part")) <= 500).alias("bounded"))
+
+
 def note_link_decisions(spark: SparkSession, d: str) -> DataFrame:
     return extraction(spark, d).hits.select("document_id", "sentence_id", F.col("src_text").alias("source"), F.col("tgt_text").alias("target"), "asked", "relation_type", "prob", "band")
 
@@ -278,7 +314,7 @@ def degree_capped(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = (
     note_sentences, note_headings, note_front_matter, note_fences, note_blocks, document_lines, token_spans, converted_links, listed_mentions, cue_mentions, merged_mentions, capital_runs,
-    name_suggestions, document_sentences, bounded_pieces, pronoun_counts, word_occurrences, note_typing, note_link_decisions, note_entities, note_relationships, note_queue, note_statistics,
+    name_suggestions, document_sentences, bounded_pieces, pronoun_counts, word_occurrences, note_typing, asked_typing, run_mentions, piece_cover, note_link_decisions, note_entities, note_relationships, note_queue, note_statistics,
     note_lineage, note_audit, note_forecast, note_cypher, note_graph_edges, note_graph_nodes, note_web_edges, note_dashboard, note_highlights, note_sections, document_sections,
     canonical_names, link_phrases, degree_capped,
 )
@@ -329,9 +365,10 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT document_id, 3, r, 9 + length(s) + length(n) FROM facts
             UNION ALL SELECT document_id, 4, '> so it is', 10 + length(s) + length(n) + length(r) FROM facts""",
         "document_lines": """
-            WITH cut AS (SELECT document_id, string_split(text, chr(10)) AS parts FROM documents WHERE text <> '' AND NOT starts_with(text, '---')),
-            rows AS (SELECT document_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS no FROM cut),
-            placed AS (SELECT document_id, regexp_replace(line, '\\r$', '') AS line, coalesce(sum(length(line) + 1) OVER (PARTITION BY document_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM rows)
+            WITH head AS (SELECT document_id, text, length(regexp_extract(text, '^---\\r?\\n(?s:.*?)\\r?\\n---\\r?\\n')) AS skip FROM documents WHERE text <> ''),
+            cut AS (SELECT document_id, skip, string_split(substr(text, skip + 1), chr(10)) AS parts FROM head WHERE length(text) > skip),
+            rows AS (SELECT document_id, skip, unnest(parts) AS line, generate_subscripts(parts, 1) AS no FROM cut),
+            placed AS (SELECT document_id, regexp_replace(line, '\\r$', '') AS line, skip + coalesce(sum(length(line) + 1) OVER (PARTITION BY document_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM rows)
             SELECT document_id, count(*) AS n_lines, CAST(max(pos) AS INTEGER) AS last_start, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM placed WHERE line <> '' GROUP BY document_id""",
         "token_spans": """
             WITH cut AS (SELECT o_orderkey, string_split('Order ' || o_orderkey || ' for ' || o_custkey || ' is ' || o_orderpriority, ' ') AS parts FROM orders),
@@ -352,6 +389,13 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w = 'the')) AS INTEGER) AS n FROM documents
             WHERE text IS NOT NULL AND len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w = 'the')) > 0""",
         "note_typing": f"WITH {NOTES}, {SPANS} SELECT kind AS entity_type, 'ACCEPT' AS band, 'ontology' AS decided_by, count(*) AS n FROM spans GROUP BY kind",
+        "asked_typing": """SELECT 'note-' || s_suppkey AS document_id, s_name AS text,
+            CASE WHEN s_acctbal < 5000 THEN 'NOT_ENTITY' WHEN s_suppkey % 2 = 1 THEN 'NATION' ELSE 'SUPPLIER' END AS entity_type,
+            CASE WHEN s_acctbal < 0 THEN 'REJECT' WHEN s_acctbal < 5000 OR s_suppkey % 2 = 1 THEN 'REVIEW' ELSE 'ACCEPT' END AS band,
+            CAST(CASE WHEN s_acctbal < 0 THEN 0.1 WHEN s_acctbal < 5000 THEN 0.5 ELSE 0.8 END AS DOUBLE) AS winner_prob, s_acctbal >= 5000 AND s_suppkey % 2 = 1 AS flipped FROM supplier""",
+        "run_mentions": """WITH t AS (SELECT CAST(n_nationkey AS VARCHAR) AS document_id, array_to_string(list_transform(string_split(lower(replace(n_name, '_', '')), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS n FROM nation)
+            SELECT document_id, 'Bank of ' || n AS text, 14 AS start_char, 22 + length(n) AS end_char FROM t UNION ALL SELECT document_id, 'Orlo Vane', 27 + length(n), 36 + length(n) FROM t""",
+        "piece_cover": "SELECT doc_id, CAST(length(text) AS BIGINT) AS covered, CAST(length(text) AS INTEGER) AS last, true AS bounded FROM documents WHERE text <> ''",
         "note_link_decisions": f"WITH {NOTES}, {HITS} SELECT document_id, sentence_id, source, target, asked, CASE WHEN band = 'ACCEPT' THEN asked ELSE 'NONE' END AS relation_type, CAST(prob AS DOUBLE) AS prob, band FROM hits",
         "note_entities": f"""WITH {NOTES}
             SELECT document_id, {s} AS name, 'SUPPLIER' AS entity_type, s AS display_name, CAST(1 AS DOUBLE) AS importance, s AS source_spans FROM facts

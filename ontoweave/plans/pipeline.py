@@ -46,9 +46,16 @@ def extract(
     all outputs share, and to the hits where a decider was asked: by default they are written to the checkpoint folder
     once. Hits of the rules stay lazy, so that an output that needs no links decides none.
     """
-    spark = docs.sparkSession
+    return extract_sentences(keep(parsing.sentences(docs, blocks, max_chars)), ontology, gazetteer, gate, capitals, max_pairs, keep, decider, model, more)
+
+
+def extract_sentences(
+    sents: DataFrame, ontology: Ontology, gazetteer: DataFrame | None = None, gate: Gate = Gate(), capitals: bool = False, max_pairs: int = decide.PAIRS_PER_SENTENCE,
+    keep: Callable[[DataFrame], DataFrame] = cut_lineage, decider: Decider | None = None, model: str = "rules", more: Iterable[Callable[[DataFrame], DataFrame]] = (),
+) -> Extraction:
+    """The same from sentences that are parsed already."""
+    spark = sents.sparkSession
     listed = gazetteer if gazetteer is not None else ontology.gazetteer(spark)
-    sents = keep(parsing.sentences(docs, blocks, max_chars))
     found = mentions.propose(sents, listed, capitals, [step(sents) for step in more])
     typed = keep(assemble.in_document_order(decide.type_mentions(found, sents, listed, ontology, gate, decider, model), sents))
     predicates, cut = decide.legal_pairs(typed, ontology.signature_table(spark), max_pairs)

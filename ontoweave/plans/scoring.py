@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import decide, evaluate, export, grounding, ontology
+from ..operators import decide, deciders, evaluate, export, grounding, ontology
 from ..operators import questions as Q
 from ..sources import files
 from ..session import table
@@ -85,11 +85,9 @@ def event_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def event_misses(spark: SparkSession, d: str) -> DataFrame:
-    """Users asked for (all events) without a kept answer (their purchases)."""
-    rows = table(spark, d, "events")
-    asked = rows.select(F.col("user_id").cast("string").alias("question_key"))
-    kept = rows.where(F.col("event_type") == "purchase").select(F.col("user_id").cast("string").alias("question_key"))
-    return decide.misses(asked, kept)
+    """Users and kinds of event asked for (all events) without a kept answer (their events worth more than 50)."""
+    rows = table(spark, d, "events").select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("question_key"), "value")
+    return decide.misses(rows.select("question_key"), rows.where(F.col("value") > 50).select("question_key"))
 
 
 def packed_calls(spark: SparkSession, d: str) -> DataFrame:
@@ -98,6 +96,27 @@ def packed_calls(spark: SparkSession, d: str) -> DataFrame:
     return Q.pack(rows, ["document_id"], ["idx", "text"], "text").groupBy("document_id", "call_no").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens"))
 
 
+MANY = 40
+
+
+def grouped_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as names of one of 40 kinds, too many for one question: asked for the group, then within it."""
+    onto = ontology.Ontology("many", tuple(ontology.Kind(f"K{i:02d}", f"Kind {i}.") for i in range(MANY)), ())
+    part = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("document_id"), F.concat(F.lit("Part "), F.col("p_partkey").cast("string")).alias("text"), F.pmod("p_size", F.lit(MANY)).cast("int").alias("kind_no"))
+    none = F.expr("cast(array() as array<string>)")
+    sentences = part.select("document_id", F.concat("document_id", F.lit("-s0")).alias("sentence_id"), F.lit(0).alias("idx"), "text", F.lit(0).alias("start_char"), none.alias("heading_path"))
+    found = sentences.select("document_id", "sentence_id", "text", "start_char", F.length("text").alias("end_char"), F.lit("encoder").alias("source"), F.lit(None).cast("string").alias("skipped_reason"), "heading_path", F.lit(0).alias("m_ord"))
+
+    def decider(questions: DataFrame) -> DataFrame:
+        rows = questions.join(part.select(F.col("text").alias("_name"), "kind_no"), F.col("about.mention") == F.col("_name"))
+        group = F.concat(F.lit(Q.GROUP), ontology.group_of(F.col("kind_no")).cast("string"))
+        label = F.when(F.startswith(F.element_at("options", 1)["label"], F.lit(Q.GROUP)), group).otherwise(F.format_string("K%02d", F.col("kind_no")))
+        answer = F.when(F.col("kind") == "noul", deciders.noul_answer(F.lit(0.9))).otherwise(deciders.choice_answer(label, F.lit(0.85), F.col("options"), F.lit(0.9)))
+        return deciders.free(rows.select("question_key", answer.alias("answer")))
+
+    return decide.type_mentions(found, sentences, onto.gazetteer(spark), onto, GATE, decider, "t").select("document_id", "entity_type", "band", F.round("winner_prob", 6).alias("winner_prob"))
+
+
 def answer_checks(spark: SparkSession, d: str) -> DataFrame:
     """What is wrong with the kept answers of decisions, as counts."""
     schema = f"answers map<string,{Q.ANSWER}>"
@@ -210,7 +229,7 @@ def cut_listing(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = (
-    option_answers, choice_bands, noul_bands, rotated_answers, compared_answers, kind_groups, legal_predicates, pairs_cut, signatures, event_keys, event_misses, packed_calls, answer_checks,
+    option_answers, choice_bands, noul_bands, rotated_answers, compared_answers, kind_groups, legal_predicates, pairs_cut, signatures, event_keys, event_misses, grouped_kinds, packed_calls, answer_checks,
     segment_scores, total_scores, span_scores, precision_curve, fitted_gates, latencies, latest_answers, latest_runs, gold_entities, gold_without_notes, grounded_replies, result_entities, cut_listing,
 )
 
@@ -268,8 +287,10 @@ def oracle_sql() -> dict[str, str]:
         "legal_predicates": f"WITH {TYPED} SELECT document_id, src_ord, tgt_ord, relation, p_ord FROM ranked WHERE p_ord <= 4",
         "pairs_cut": f"WITH {TYPED}, n AS (SELECT document_id, count(DISTINCT src_ord * 1000 + tgt_ord) - 4 AS pairs_cut FROM legal GROUP BY document_id) SELECT * FROM n WHERE pairs_cut > 0",
         "signatures": "SELECT * FROM (VALUES ('SUPPLIER', 'NATION', 'LOCATED_IN'), ('NATION', 'REGION', 'PART_OF'), ('SUPPLIER', 'SUPPLIER', 'DEPENDS_ON')) t(src_type, tgt_type, relation)",
+        "grouped_kinds": "SELECT CAST(p_partkey AS VARCHAR) AS document_id, 'K' || lpad(CAST(p_size % 40 AS VARCHAR), 2, '0') AS entity_type, 'ACCEPT' AS band, CAST(0.85 AS DOUBLE) AS winner_prob FROM part",
         "event_keys": """SELECT sha256('{' || CASE WHEN props IS NULL THEN '' ELSE '"body":' || CAST(to_json(props) AS VARCHAR) || ',' END || '"contract":"2","model":' || CAST(to_json(event_type) AS VARCHAR) || '}') AS cache_key, count(*) AS n FROM events GROUP BY 1""",
-        "event_misses": "SELECT DISTINCT CAST(user_id AS VARCHAR) AS question_key FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND user_id IS NOT NULL)",
+        "event_misses": """WITH k AS (SELECT concat_ws('/', CAST(user_id AS VARCHAR), event_type) AS question_key, value FROM events)
+            SELECT DISTINCT question_key FROM k WHERE question_key NOT IN (SELECT question_key FROM k WHERE value > 50)""",
         "segment_scores": f"WITH {LINKS} SELECT {RATIOS} FROM cnt",
         "total_scores": f"WITH {LINKS}, t AS (SELECT doc_id, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM cnt GROUP BY ROLLUP (doc_id)) SELECT {RATIOS} FROM t",
         "span_scores": """

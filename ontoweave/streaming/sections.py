@@ -9,9 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import assemble, export
+from ..sources import files
+
 SECTION_CHARS = 3000
 
 
@@ -71,6 +74,30 @@ class SectionStream:
         query = stream.writeStream.foreachBatch(self._batch).option("checkpointLocation", self.checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
 
-    def snapshot(self, name: str) -> DataFrame:
+    def read(self, name: str) -> DataFrame:
         """Everything of one kind that has been decided so far."""
         return self.spark.read.parquet(f"{self.out}/{name}")
+
+    def snapshot(self) -> dict[str, DataFrame]:
+        """entities, relationships and items of all that has been read so far, assembled anew from the kept decisions.
+
+        Decisions are ordered by their batch and then within it, so an interrupted stream gives the same graph as one
+        that ran through.
+        """
+        order = Window.partitionBy("document_id").orderBy("batch_id", "ord")
+        numbered = lambda name, c: self.read(name).withColumnRenamed(c, "ord").withColumn(c, F.row_number().over(order) - 1).drop("ord", "batch_id")
+        routed = assemble.route_mentions(numbered("typed", "d_ord"))
+        entities = assemble.merge_entities(routed)
+        links = assemble.route_links(numbered("hits", "h_ord"), entities)
+        return {"entities": entities, "relationships": assemble.merge_links(links), "items": assemble.queue(routed, links)}
+
+    def finish(self, ledger: str, run_id: str, model: str, ontology_id: str, started: float) -> dict[str, DataFrame]:
+        """The last snapshot; only now the run is written to the ledger, one row for each document."""
+        graph = self.snapshot()
+        results = export.result_json(graph["entities"], graph["relationships"], graph["items"])
+        stats = export.dashboard(graph["entities"], graph["relationships"], graph["items"])
+        stats = stats.select("document_id", F.to_json(F.struct(*[c for c in stats.columns if c != "document_id"])).alias("stats_json"))
+        rows = results.join(stats, "document_id", "left").select(
+            F.lit(run_id).alias("run_id"), "document_id", F.lit(model).alias("model"), F.lit(ontology_id).alias("ontology_id"), F.timestamp_seconds(F.lit(started)).alias("started_at"), F.current_timestamp().alias("finished_at"), "stats_json", "result_json")
+        files.keep(rows, ledger)
+        return graph

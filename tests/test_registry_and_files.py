@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ontoweave import cli
 from ontoweave.operators import export, ontology, parsing
-from ontoweave.plans import registry
+from ontoweave.operators.ontology import Kind, Link, Ontology
+from ontoweave.plans import benchmark, registry
 from ontoweave.plans.pipeline import extract
 from ontoweave.sources import files
 from ontoweave.streaming import sections
@@ -78,6 +79,49 @@ def test_token_split(spark, tmp_path):
     (tmp_path / "t.json").write_text(json.dumps([doc, doc]))
     ids = [r.doc_id for r in files.read_token_split(spark, str(tmp_path / "t.json"), "test").collect()]
     assert sorted(ids) == ["test_0000", "test_0001"]
+    (tmp_path / "c.json").write_text(json.dumps([{"id": "c1", "text": "Jo in Rome", "entities": [{"index": 0, "name": "Jo", "type": "PERSON", "start": 0, "end": 2}], "relations": []}]))
+    assert [(r.doc_id, r.entities[0].name) for r in files.read_converted_split(spark, str(tmp_path / "c.json")).collect()] == [("c1", "Jo")]
+
+
+TOWNS = Ontology("towns", (Kind("PERSON", "A person."), Kind("LOCATION", "A place.")), (Link("LIVES_IN", "Where one lives.", ("PERSON",), ("LOCATION",)),), {"Rome": "LOCATION", "Jo Alba": "PERSON", "Oslo": "LOCATION"})
+MAPS = ({"Peop": "PERSON", "Loc": "LOCATION"}, {"Live_In": "LIVES_IN"})
+TOKENS = "doc_id string, tokens array<string>, entities array<struct<type:string,start:int,end:int>>, relations array<struct<type:string,head:int,tail:int>>"
+
+
+def test_a_split_is_extracted_and_scored(spark):
+    rows = [
+        ("t_0", "Jo Alba lives in Rome .".split(), [("Peop", 0, 2), ("Loc", 4, 5)], [("Live_In", 0, 1)]),
+        ("t_1", "In Rome one lives in Jo Alba .".split(), [("Loc", 1, 2)], []),
+        ("t_2", "Nothing here .".split(), [], []),
+        ("t_3", "Jo Alba never lives in Oslo .".split(), [("Loc", 0, 2), ("Loc", 5, 6)], []),
+    ]
+    scores = benchmark.run_split(spark.createDataFrame(rows, TOKENS), TOWNS, *MAPS)
+    per = {r.doc_id: (r.entity_tp, r.entity_fp, r.entity_fn, r.link_tp, r.link_fp, r.link_fn, r.boundary_only) for r in scores.documents.collect()}
+    assert per["t_0"] == (2, 0, 0, 1, 0, 0, 0) and per["t_2"] == (0,) * 7 and per["t_3"] == (1, 1, 1, 0, 0, 0, 1)
+    total = {r.what: (r.tp, r.fp, r.fn, r.n_docs, r.boundary_only) for r in scores.summary.collect()}
+    assert total["entity"] == tuple(sum(v[i] for v in per.values()) for i in (0, 1, 2)) + (4, 1) and total["link"][0] == 1
+    one = benchmark.run_split(spark.createDataFrame(rows, TOKENS), TOWNS, *MAPS, limit=1)
+    assert [r.doc_id for r in one.documents.collect()] == ["t_0"]
+
+
+@pytest.mark.parametrize(("entities", "relations", "match"), [
+    ([("Peop", 0, 9)], [], "bad token span"), ([("Peop", 1, 1)], [], "bad token span"), ([("Odd", 0, 1)], [], "unknown kind Odd"), ([("Peop", 0, 1), ("Loc", 1, 2)], [("Odd", 0, 1)], "unknown link Odd"), ([("Peop", 0, 1), ("Loc", 1, 2)], [("Live_In", 1, 0)], "no legal link"),
+])
+def test_bad_token_documents_raise(spark, entities, relations, match):
+    rows = spark.createDataFrame([("d", ["Jo", "Rome"], entities, relations)], TOKENS)
+    with pytest.raises(Exception, match=match):
+        for frame in parsing.convert_spans(rows, *MAPS, TOWNS):
+            frame.collect()
+
+
+def test_notes_are_scored_in_groups(spark):
+    notes = docs(spark, NOTE, "Jo Alba lives in Rome.", "no label")
+    schema = "document_id string, entities array<struct<name:string,type:string>>, relations array<struct<source:string,target:string,type:string>>"
+    gold = spark.createDataFrame([("d0", [("Ada Byron", "PERSON")], []), ("d1", [("Jo Alba", "PERSON"), ("Rome", "LOCATION"), ("Oslo", "LOCATION")], [("Jo Alba", "Rome", "LIVES_IN")]), ("gone", [("x", "y")], [])], schema)
+    scores = benchmark.score_notes(notes, gold, {"main": (ONTO, None), "towns": (TOWNS, ["d1"])})
+    got = {(r.what, r.group): (r.tp, r.fp, r.fn) for r in scores.summary.collect()}
+    assert got["entity", "towns"] == (2, 0, 1) and got["relation", "towns"] == (1, 0, 0) and got["entity", "main"] == (1, 3, 0) and got["entity", None] == (3, 3, 1)
+    assert scores.seconds > 0 and set(scores.documents.toPandas().document_id) == {"d0", "d1"}
 
 
 def plan_loop(sizes, paths, target):
@@ -123,14 +167,17 @@ def test_a_stream_of_sections_gives_the_graph_of_one_shot(spark, tmp_path):
 
     def read(rows):
         x = extract(rows, ONTO)
-        return {"relationships": x.relationships, "items": x.items}
+        return {"typed": x.typed, "hits": x.hits}
 
     stream = sections.SectionStream(spark, str(tmp_path / "in"), "document_id string, text string", str(tmp_path / "out"), str(tmp_path / "cp"), read)
     stream.run()
     stream.run()  # nothing new: nothing is counted twice
-    got = {(r.document_id, r.source, r.relation_type, r.target) for r in stream.snapshot("relationships").collect()}
+    got = {(r.document_id, r.source, r.relation_type, r.target) for r in stream.snapshot()["relationships"].collect()}
     assert got == whole and ("d0", "ADA_BYRON", "WORKS_FOR", "ACME") in got
-    assert stream.snapshot("items").where("queue = 'review'").count() == 2
+    graph = stream.finish(str(tmp_path / "runs"), "r1", "rules", "t", 0.0)
+    assert graph["items"].where("queue = 'review'").count() == 2
+    runs = spark.read.parquet(str(tmp_path / "runs")).collect()
+    assert {r.document_id for r in runs} == {"d0", "d1"} and all(json.loads(r.result_json)["entities"] and json.loads(r.stats_json)["names_kept"] for r in runs)
 
 
 def test_exports(spark):
@@ -139,10 +186,15 @@ def test_exports(spark):
     assert sum(s.startswith("MERGE") for s in statements) == 4 and sum(s.startswith("MATCH") for s in statements) == 2
     nodes, edges = export.web_graph(x.entities, x.relationships, x.items, x.sentences, ONTO)
     assert nodes.count() == 4 and sorted(r.pending for r in edges.collect()) == [False, False, True]
-    page = export.graph_page(nodes.collect(), edges.collect(), "</script><b>")
+    page = export.graph_pages(*export.cap_graph(nodes, edges), "</script><b>").first().page
     assert "</script><b>" not in page and page.count("</script>") == 1
-    result = json.loads(export.result_json(x.entities, x.relationships, x.items).first().result_json)
-    assert len(result["entities"]) == 4 and len(result["relationships"]) == 2 and len(result["review"]) == 1
+    results = export.result_json(x.entities, x.relationships, x.items, x.mentions, x.statistics())
+    result = json.loads(results.first().result_json)
+    assert len(result["entities"]) == 4 and len(result["relationships"]) == 2 and len(result["review"]) == 1 and len(result["rejected"]) == 2 and len(result["mentions"]) >= 6 and result["metadata"]["entities"] == 4
+    assert set(json.loads(export.exportable(results).first().result_json)) == {"entities", "relationships", "review", "metadata"}
+    report = export.report_pages(docs(spark, NOTE, "<b>none</b>"), x.typed, x.entities, x.relationships, x.items, ONTO).orderBy("document_id").collect()
+    assert "4 names, 2 links, 1 to review" in report[0].page and report[0].page.count("<mark") >= 6 + 3 and "Ada Byron works for Acme." in report[0].page
+    assert "&lt;b&gt;none&lt;/b&gt;" in report[1].page and "0 names" in report[1].page
     capped, inside = export.cap_graph(nodes, edges, 2)
     assert capped.count() == 2 and inside.count() <= 1
     kept = export.marks(x.typed)
@@ -171,6 +223,8 @@ def test_probe_and_extract_commands(spark, tmp_path, capsys, monkeypatch):
     assert cli.run(["probe", str(tmp_path / "a.md")]) == 0
     assert cli.run(["extract", str(tmp_path / "a.md")]) == 0
     assert "AFRICA" in capsys.readouterr().out
+    assert cli.run(["report", str(tmp_path / "a.md"), "--out", str(tmp_path / "pages")]) == 0
+    assert "AFRICA" in (tmp_path / "pages" / "a.html").read_text()
 
 
 def test_long_text_and_repeats(spark):
