@@ -72,6 +72,17 @@ def capital_runs(sentences: DataFrame, taken: DataFrame | None = None) -> DataFr
     return runs if taken is None else clear_of(runs, taken)
 
 
+def masked(sentences: DataFrame, taken: DataFrame) -> DataFrame:
+    """sentences with blanks in place of the mentions ``taken``, so that all else keeps its place."""
+    keys = ["document_id", "sentence_id"]
+    spans = taken.groupBy(*keys).agg(F.collect_list(F.struct("start_char", "end_char")).alias("_taken"))
+    at = lambda t, c: t[c] - F.col("start_char")
+    blank = F.aggregate(
+        F.coalesce("_taken", F.expr("cast(array() as array<struct<start_char:int,end_char:int>>)")), F.col("text"),
+        lambda acc, t: F.concat(acc.substr(F.lit(1), at(t, "start_char")), F.repeat(F.lit(" "), at(t, "end_char") - at(t, "start_char")), acc.substr(at(t, "end_char") + 1, F.length(acc))))
+    return sentences.join(spans, keys, "left").withColumn("text", blank).drop("_taken")
+
+
 def clear_of(mentions: DataFrame, taken: DataFrame) -> DataFrame:
     """Mentions that overlap none of ``taken`` in their sentence."""
     keys = ["document_id", "sentence_id"]
@@ -181,7 +192,7 @@ def suggest_names(sentences: DataFrame, gazetteer: DataFrame, most: int = 14) ->
 
     A single word seen only once, as a sentence's first, is no suggestion. ``most`` is the feature: a top list.
     """
-    runs = capital_runs(sentences, listed_names(sentences, gazetteer))
+    runs = capital_runs(masked(sentences, listed_names(sentences, gazetteer)))
     listed = gazetteer.select(F.lower("name").alias("listed")).distinct()
     opens = sentences.select("document_id", "sentence_id", F.col("start_char").alias("opens_at"))
     rows = runs.join(opens, ["document_id", "sentence_id"]).join(listed, F.lower("text") == F.col("listed"), "left_anti")
