@@ -50,6 +50,18 @@ COMMANDS = re.compile(r"\\(?:begin|end|label|ref|cite)\{[^{}]*\}|\\[A-Za-z]+\*?"
 WORD = re.compile(r"[^\W_]+")
 
 
+class _Visible(dict):
+    """Character -> itself, or nothing for invisible ones and marks."""
+
+    def __missing__(self, code: int) -> int | None:
+        c = chr(code)
+        self[code] = code if unicodedata.category(c) not in ("Cf", "Mn") or c.isalnum() else None
+        return self[code]
+
+
+VISIBLE = _Visible()
+
+
 def _kept(m: re.Match) -> str:
     return f" {m.group(1) or m.group(2) or ''} "
 
@@ -60,8 +72,7 @@ def plain_words(text: str | None) -> list[str]:
         return []
     text = html.unescape(text) if "&" in text else text
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
-        text = "".join(c for c in text if unicodedata.category(c) not in ("Cf", "Mn") or c.isalnum())
+        text = unicodedata.normalize("NFKC", text).translate(VISIBLE)
     if "<" in text:
         text = TAGS.sub(" ", text)
     if "[" in text or "{{" in text:
@@ -328,6 +339,7 @@ class Search:
                 continue
             vectors, segment, starts = _passages(total, [at[g] for g in room], [lengths[g] for g in room], size, max(1, size // 4))
             near: dict[tuple[int, int], list[tuple[float, int]]] = defaultdict(list)
+            sets: dict[tuple[int, int], set[str]] = {}
             for rows, queries, cosines in blocks.hits(vectors):
                 for r, k, c in zip(rows.tolist(), items[queries].tolist(), cosines.tolist()):
                     g = room[segment[r]]
@@ -335,16 +347,19 @@ class Search:
                         near[g, k].append((c, held[g][2] + int(starts[r])))
             for (g, k), found in near.items():
                 i, words = held[g][:2]
-                share, c = max((self._shared(k, words[max(0, s - size // 2) : s + size + size // 2]), c) for c, s in found)
+                share, c = max((self._shared(k, i, words, max(0, s - size // 2), s + size + size // 2, sets), c) for c, s in found)
                 if share >= paraphrase:
                     yield i, self.known[k][0], "paraphrase", c, share
 
-    def _shared(self, k: int, passage: list[str]) -> float:
+    def _shared(self, k: int, text: int, words: list[str], start: int, end: int, sets: dict[tuple[int, int], set[str]]) -> float:
         """The share of the item's words that the passage holds in order; 0 where it does not hold the item's answer."""
-        item, (numbers, rare), held = self.known[k][1], self.answers[k], set(passage)
+        item, (numbers, rare) = self.known[k][1], self.answers[k]
+        held = sets.get((text, start))  # all passages of one size: many items ask for the same
+        if held is None:
+            held = sets[text, start] = set(words[start:end])
         if not numbers <= held or len(rare & held) < ANSWER_SHARE * len(rare):
             return 0.0
-        return longest_common(item, passage) / len(item)
+        return longest_common(item, words[start:end]) / len(item)
 
 
 LEAKS = "doc_id long, item_id long, kind string, cosine double, shared double"
