@@ -140,6 +140,32 @@ def test_split_blocks_keep_every_pair(spark):
     assert alike and alike <= split
 
 
+def test_split_blocks_keep_names_with_several_errors(spark):
+    """Pairs that meet in whole blocks and are alike are in the parts too, in whatever way they are alike."""
+    lexicon = names.Lexicon()
+    people = ["Maximilian Schneider", "Maksimilian Schneider", "Maximilian Schnaidar", "Schnaidar Maxmiliaan", "M. Schneider", "Peter Peters", "Petr Peters", "Peters, Petre", "Margarethe von Schneider", "Magarete Schneider"]
+    firms = ["Global Karvanter Belmorid Ltd", "Global Carvanter Pelmorid Ltd", "Global Karvanter Bel Morid", "Global Media Group", "Global (MG)", "Global Mda Grp", "Global Metering Gallery", "Global MG Ltd"]
+    long = ["Global Karvanter Belmorid Tassiler Wendover Quistram Orpheline Dunstable Hexamine Jolivette Ltd", "Global Carvanter Pelmorid Dassiler Vendover Kuistram Orfelyne Tunstable Jolivette Xoanon Ltd"]
+    rows = names.blocks(table_of(spark, [*people, *firms, *long]), lexicon)
+    pairs = lambda most: {(r.name_a, r.name_b) for r in names.candidates(rows, most).collect()}
+    whole, split = pairs(10_000), pairs(1)
+    alike = {p for p in whole if names.likeness(*p, lexicon) >= 0.9}
+    assert {("Maksimilian Schneider", "Maximilian Schneider"), ("Global Carvanter Pelmorid Ltd", "Global Karvanter Belmorid Ltd")} <= alike
+    assert alike <= split <= whole and len(split) < len(whole)
+
+
+def test_links_do_not_hang_on_the_size_of_a_block(spark):
+    lexicon = names.Lexicon()
+    r = random.Random(11)
+    own = ["Meinhart Smith", "Mednuart Smith", "Smith, Meinhartt", "M. Smith", "Max Smith", "Mary Smith"]
+    many = {"M" + "".join(r.choice("aeiou") + r.choice("bdfgklmnprstvz") for _ in range(4)) + "t Smith" for _ in range(names.BLOCK_MOST + 20)}
+    few = linked(table_of(spark, own), lexicon=lexicon)
+    assert few == brute_pairs(own, lexicon) and ("Mednuart Smith", "Meinhart Smith") in few
+    assert linked(table_of(spark, [*own, *many]), lexicon=lexicon) == brute_pairs(sorted({*own, *many}), lexicon)
+    few = linked(table_of(spark, own), lexicon=lexicon, least=0.5)
+    assert few == {p for p in linked(table_of(spark, [*own, *many]), lexicon=lexicon, least=0.5) if set(p) <= set(own)}
+
+
 def test_names_teach_kinds_and_nicknames(spark):
     cores = ["Brelm", "Tarvok", "Ostin", "Quendal", "Firmok", "Halbert", "Zimmel", "Dorvan"]
     firms = [f"{c} {k} {law}" for c in cores for k in ("Gravures", "Tilings") for law in ("Ltd", "GmbH")]
